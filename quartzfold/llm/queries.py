@@ -7,10 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quartzfold.llm.clusters import Alike, loose_parts, similar_groups, typical, usable
 from quartzfold.llm.encode import encode_corpus
 from quartzfold.llm.packing import filling, pack
 from quartzfold.llm.top_n import latest_value, top_n
-from quartzfold.session import table
+from quartzfold.operators.references import same_path
+from quartzfold.session import cut, table
 
 
 def vocabulary(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -26,6 +28,41 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(assigned.join(usable, "variant_id"), ["template_id"], "mean_hydrophobic_rasa", "variant_id", 5).select("template_id", "variant_id")
 
 
+def embedded_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants with a usable vector: node (the row_id of the first row that leads to one), name (variant_id), vector.
+
+    Rows are ranged by variant, so that variants of a template, which are often alike, meet in one chunk.
+    """
+    files = table(spark, sf_dir, "embedding_files").where(usable(F.col("emb_mean"), Alike.dim)).select(same_path(F.col("embedding_path")).alias("path"), F.col("emb_mean").alias("vector"))
+    rows = table(spark, sf_dir, "embeddings_index").where("status in ('ok', 'skipped') and variant_id is not null")
+    rows = rows.groupBy("variant_id", same_path(F.col("embedding_path")).alias("path")).agg(F.min("row_id").alias("row_id"))
+    found = rows.join(files.groupBy("path").agg(F.min("vector").alias("vector")), "path").repartitionByRange("variant_id")
+    return found.groupBy(F.col("variant_id").alias("name")).agg(F.min(F.struct("row_id", "vector")).alias("first")).select(F.col("first.row_id").alias("node"), "name", F.col("first.vector").alias("vector"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of each cluster of alike vectors but the first, with the first."""
+    nodes = cut(embedded_variants(spark, sf_dir))
+    labels, _ = similar_groups(nodes)
+    named = labels.join(nodes.select("node", "name"), "node")
+    first = named.groupBy("cluster").agg(F.min("name").alias("first_variant_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster", "first_variant_id")
+    return named.join(first, "cluster").where("name <> first_variant_id").select("first_variant_id", F.col("name").alias("variant_id"))
+
+
+def p5_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label per variant: its cluster, and its part of a loose cluster."""
+    nodes = cut(embedded_variants(spark, sf_dir))
+    labels, links = similar_groups(nodes)
+    parts = loose_parts(labels, links, nodes)
+    return parts.join(nodes.select("node", "name"), "node").select(F.col("name").alias("variant_id"), F.col("cluster").alias("label"), F.col("part").alias("part_label"))
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size and the three most typical members of every cluster."""
+    nodes = cut(embedded_variants(spark, sf_dir))
+    return typical(similar_groups(nodes)[0], nodes).select(F.col("cluster").alias("label"), "size", "typical")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary(spark))
@@ -46,7 +83,7 @@ def p7_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filling(_packed(spark, sf_dir), table(spark, sf_dir, "containers"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_filling": p7_filling}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_labels": p5_labels, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_filling": p7_filling}
 SQL = {
     "p3_found": """
 WITH latest AS (SELECT variant_id, mean_hydrophobic_rasa AS v FROM structural_metrics QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY row_id DESC) = 1),
