@@ -43,8 +43,7 @@ def embedded_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The members of each cluster of alike vectors but the first, with the first."""
     nodes = cut(embedded_variants(spark, sf_dir))
-    labels, _ = similar_groups(nodes)
-    named = labels.join(nodes.select("node", "name"), "node")
+    named, _ = similar_groups(nodes)
     first = named.groupBy("cluster").agg(F.min("name").alias("first_variant_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster", "first_variant_id")
     return named.join(first, "cluster").where("name <> first_variant_id").select("first_variant_id", F.col("name").alias("variant_id"))
 
@@ -54,7 +53,7 @@ def p5_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = cut(embedded_variants(spark, sf_dir))
     labels, links = similar_groups(nodes)
     parts = loose_parts(labels, links, nodes)
-    return parts.join(nodes.select("node", "name"), "node").select(F.col("name").alias("variant_id"), F.col("cluster").alias("label"), F.col("part").alias("part_label"))
+    return parts.select(F.col("name").alias("variant_id"), F.col("cluster").alias("label"), F.col("part").alias("part_label"))
 
 
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
