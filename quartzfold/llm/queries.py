@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quartzfold.llm.clusters import Alike, loose_parts, similar_groups, typical, usable
 from quartzfold.llm.encode import encode_corpus
 from quartzfold.llm.packing import filling, pack
+from quartzfold.llm.subjects import fit_subjects, subject_shares, subjects_of
 from quartzfold.llm.top_n import latest_value, top_n
 from quartzfold.operators.references import same_path
 from quartzfold.session import cut, table
@@ -82,7 +83,22 @@ def p7_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filling(_packed(spark, sf_dir), table(spark, sf_dir, "containers"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_labels": p5_labels, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_filling": p7_filling}
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return subjects_of(documents, fit_subjects(documents, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject areas of every post's own prose."""
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each subject area in the corpus."""
+    return subject_shares(_subjects(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_labels": p5_labels, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_filling": p7_filling, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL = {
     "p3_found": """
 WITH latest AS (SELECT variant_id, mean_hydrophobic_rasa AS v FROM structural_metrics QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY row_id DESC) = 1),
