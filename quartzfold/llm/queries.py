@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quartzfold.llm.clusters import Alike, loose_parts, similar_groups, typical, usable
 from quartzfold.llm.encode import encode_corpus
 from quartzfold.llm.packing import filling, pack
+from quartzfold.llm.selection import varied_subset
 from quartzfold.llm.subjects import fit_subjects, subject_shares, subjects_of
 from quartzfold.llm.top_n import latest_value, top_n
 from quartzfold.operators.references import same_path
@@ -41,6 +42,38 @@ def embedded_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("variant_id").alias("name")).agg(F.min(F.struct("row_id", "vector")).alias("first")).select(F.col("first.row_id").alias("node"), "name", F.col("first.vector").alias("vector"))
 
 
+def choosable_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants with a cluster and a usable vector: item, name, template_id, cluster_id, group, preferred (a medoid), vector.
+
+    The cluster is that of the variant's row with the highest row_id that has a template and a cluster; a group is known
+    by the least row_id of such rows.
+    """
+    rows = table(spark, sf_dir, "cluster_assignments").where("variant_id is not null and template_id is not null and cluster_id is not null")
+    latest = rows.groupBy(F.col("variant_id").alias("name")).agg(F.max(F.struct("row_id", "template_id", "cluster_id", F.coalesce("is_medoid", F.lit(False)).alias("preferred"))).alias("a"))
+    latest = latest.select("name", "a.*")
+    group = latest.groupBy("template_id", "cluster_id").agg(F.min("row_id").alias("group"))
+    vectors = embedded_variants(spark, sf_dir).withColumnRenamed("node", "item")
+    return vectors.join(latest.join(group, ["template_id", "cluster_id"]).drop("row_id"), "name")
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = cut(choosable_variants(spark, sf_dir))
+    specs = table(spark, sf_dir, "selection_specs").where("selection_mode = 'cluster_sample_k'")
+    chosen = varied_subset(items.select("item", "group", "preferred", "vector"), specs, Alike.dim)
+    return chosen.join(items.select("item", F.col("name").alias("variant_id"), "template_id", "cluster_id"), "item").drop("item")
+
+
+def p4_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subset that each row of selection_specs asks for."""
+    return _selected(spark, sf_dir)
+
+
+def p4_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants, templates and clusters in each subset, and the most from one cluster."""
+    each = _selected(spark, sf_dir).groupBy("spec_id", "template_id", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("spec_id").agg(F.sum("n").alias("n_variants"), F.count_distinct("template_id").alias("n_templates"), F.count(F.lit(1)).alias("n_clusters"), F.max("n").alias("most_in_cluster"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The members of each cluster of alike vectors but the first, with the first."""
     nodes = cut(embedded_variants(spark, sf_dir))
@@ -98,7 +131,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subject_shares(_subjects(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_labels": p5_labels, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_filling": p7_filling, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p3_found": p3_found, "p4_subsets": p4_subsets, "p4_sizes": p4_sizes, "p5_found": p5_found, "p5_labels": p5_labels, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_filling": p7_filling, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL = {
     "p3_found": """
 WITH latest AS (SELECT variant_id, mean_hydrophobic_rasa AS v FROM structural_metrics QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY row_id DESC) = 1),
