@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzfold.operators.ranking import ranked_in_order
+from quartzfold.session import cut
 
 
 @dataclass(frozen=True)
@@ -87,7 +88,8 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str) -> DataFrame:
 
     One count per length comes to the driver (at most the sum of the capacities), and goes out as the plan.
     """
-    rows = pieces(sizes.withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0))), containers, key)
+    # written once: ranking samples its input before it sorts, which would count the tokens twice
+    rows = pieces(cut(sizes.select(key, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))), containers, key)
     ranked = ranked_in_order(rows, ["container_kind", "n_tokens"], [F.col(key), F.col("part_no")])
     hist: dict[str, dict[int, int]] = {}
     capacity: dict[str, int] = {}
