@@ -68,9 +68,9 @@ def pieces(sizes: DataFrame, containers: DataFrame, key: str) -> DataFrame:
     """Every item once for each container kind, those above the capacity in pieces: all full but the last.
 
     ``sizes``: key, n_tokens; ``containers``: container_kind, capacity_tokens. Kinds with a null or non-positive
-    capacity are left out. Columns: container_kind, capacity_tokens, key, part_no (from 0), start_token, n_tokens.
+    capacity are left out, of repeated kinds the least capacity counts. Columns: container_kind, capacity_tokens, key, part_no (from 0), start_token, n_tokens.
     """
-    kinds = containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct()
+    kinds = containers.where("container_kind is not null and capacity_tokens > 0").groupBy("container_kind").agg(F.min("capacity_tokens").alias("capacity_tokens"))
     n, size = F.col("n_tokens"), F.col("capacity_tokens")
     last = F.greatest(F.ceil(n / size).cast("int") - 1, F.lit(0))
     rows = sizes.select(key, "n_tokens").crossJoin(F.broadcast(kinds))  # container kinds are a few rows of configuration

@@ -99,7 +99,7 @@ def varied_subset(items: DataFrame, specs: DataFrame, dim: int, bits: int = BITS
     best record; if there are fewer cells than that, all give one, then evenly spaced ones a second, and so on.
     """
     width = -(-dim // 8)
-    keyed = cut(curve_keys(items, "vector", dim, bits))
+    keyed = cut(curve_keys(items.select("item", "group", F.coalesce("preferred", F.lit(False)).alias("preferred"), "vector"), "vector", dim, bits))
     total = keyed.count()
     rows = [r.asDict() for r in specs.where("spec_id is not null and k_per_cluster > 0").collect()]  # configuration
     wanted = {r["spec_id"]: total if r["subset_size"] is None and r["subset_share"] is None else r["subset_size"] if r["subset_size"] is not None else int(r["subset_share"] * total + 0.5) for r in rows}
