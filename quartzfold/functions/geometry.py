@@ -22,7 +22,8 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Between -1 and 1, null if either vector has no direction."""
-    return F.least(F.greatest(dot(a, b) / (norm(a) * norm(b)), F.lit(-1.0)), F.lit(1.0))
+    value = dot(a, b) / (norm(a) * norm(b))
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(-1.0)), F.lit(1.0)))
 
 
 def angle(cos: Column) -> Column:

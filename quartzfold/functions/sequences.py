@@ -15,7 +15,7 @@ def letters(text: Column) -> Column:
 
 def is_valid_protein(seq: Column, gaps: bool = False, stop: bool = False) -> Column:
     """Whether a trimmed sequence, in either case, has only letters (with ``gaps`` also ``-`` and ``.``, with ``stop`` also ``*``)."""
-    return F.upper(F.trim(seq)).rlike(f"^[{EXTENDED}{'.-' if gaps else ''}{'*' if stop else ''}]*$")
+    return F.upper(F.trim(seq)).rlike(f"^[{EXTENDED}{'*' if stop else ''}{'.-' if gaps else ''}]*$")
 
 
 def bad_letters(text: Column, allowed: str) -> Column:

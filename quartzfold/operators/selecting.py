@@ -59,4 +59,4 @@ def running_total(df: DataFrame, order: str, value: str, total: str = "total_bef
 
 def capped(df: DataFrame, order: str, value: str, most: int) -> DataFrame:
     """Rows in order until the sum of ``value`` reaches ``most``, with ``used``: the last row counts in part."""
-    return running_total(df, order, value).where(F.col("total_before") < most).withColumn("used", F.least(F.col(value), F.lit(most) - F.col("total_before"))).drop("total_before")
+    return running_total(df, order, value).where(F.col("total_before") < most).withColumn("used", F.least(F.coalesce(F.col(value), F.lit(0)), F.lit(most) - F.col("total_before"))).drop("total_before")
