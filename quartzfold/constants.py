@@ -21,6 +21,12 @@ THREE = {
     "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
 }
 
+# Largest accessible surface of a residue in square angstrom, after Sander and Rost (1994).
+MAX_SURFACE = {
+    "A": 106, "R": 248, "N": 157, "D": 163, "C": 135, "Q": 198, "E": 194, "G": 84, "H": 184, "I": 169,
+    "L": 164, "K": 205, "M": 188, "F": 197, "P": 136, "S": 130, "T": 142, "W": 227, "Y": 222, "V": 142,
+}
+
 # Heptad positions and their roles, secondary-structure letters.
 HEPTAD = "abcdefg"
 HEPTAD_ROLE = {"a": "core", "d": "core", "e": "electrostatic", "g": "electrostatic", "b": "solvent", "c": "solvent", "f": "solvent"}

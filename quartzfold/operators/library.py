@@ -49,6 +49,14 @@ def templates(records: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def build_library(spec: LibrarySpec, natural: DataFrame | None = None, token: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Variants of one kind of records, and the skipped templates with their reasons; exactly one kind must be given."""
+    if (natural is None) == (token is None):
+        raise ValueError("give either natural or token records")
+    t = templates(natural, "natural") if natural is not None else templates(token, "token")
+    return generate(t, spec), t.where("reason is not null")
+
+
 def require_unique(df: DataFrame, key: str) -> DataFrame:
     """``df`` itself; ValueError naming up to 20 keys that occur more than once."""
     twice = [r[0] for r in df.groupBy(key).count().where("count > 1").orderBy(key).limit(20).collect()]

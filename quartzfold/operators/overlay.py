@@ -34,6 +34,18 @@ def overlay(lines: DataFrame, scores: DataFrame) -> DataFrame:
     return joined.select("variant_id", "line_no", "line", "score").mapInPandas(_fixed, "variant_id string, line_no int, line string, written boolean")
 
 
+def available_scores(stored: DataFrame, projected: DataFrame, which: int) -> DataFrame:
+    """Component ``which`` (from 1) of each position: variant_id, pos, score; a variant's stored scores come first, else the projected ones.
+
+    Both: variant_id, pos, pc (array).
+    """
+    if which < 1:
+        raise ValueError("components are counted from 1")
+    fresh = projected.join(stored.select("variant_id").distinct(), "variant_id", "left_anti")
+    both = stored.select("variant_id", "pos", "pc").unionByName(fresh.select("variant_id", "pos", "pc"))
+    return both.select("variant_id", "pos", F.get("pc", F.lit(which - 1)).cast("double").alias("score"))
+
+
 def overlay_report(written: DataFrame, scores: DataFrame) -> DataFrame:
     """Per variant: n_ca_written, n_pc_available and a reason where they differ."""
     a = written.groupBy("variant_id").agg(F.count_if("written").alias("n_ca_written"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -79,3 +79,14 @@ def project(vectors: DataFrame, vector: str, model: PCAModel) -> DataFrame:
 def report(model: PCAModel) -> list[tuple[int, float, float]]:
     """Component (from 1), share of variance and singular value."""
     return [(i + 1, float(e), float(s)) for i, (e, s) in enumerate(zip(model.explained, model.singular, strict=True))]
+
+
+def save_pca(spark: SparkSession, model: PCAModel, path: str) -> None:
+    """The model as a table of one row."""
+    row = (model.mean.tolist(), model.components.tolist(), model.explained.tolist(), model.singular.tolist(), model.n)
+    spark.createDataFrame([row], "mean array<double>, components array<array<double>>, explained array<double>, singular array<double>, n long").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_pca(spark: SparkSession, path: str) -> PCAModel:
+    r = spark.read.parquet(path).first()
+    return PCAModel(np.array(r["mean"]), np.array(r["components"]), np.array(r["explained"]), np.array(r["singular"]), r["n"])

@@ -60,3 +60,15 @@ def running_total(df: DataFrame, order: str, value: str, total: str = "total_bef
 def capped(df: DataFrame, order: str, value: str, most: int) -> DataFrame:
     """Rows in order until the sum of ``value`` reaches ``most``, with ``used``: the last row counts in part."""
     return running_total(df, order, value).where(F.col("total_before") < most).withColumn("used", F.least(F.coalesce(F.col(value), F.lit(0)), F.lit(most) - F.col("total_before"))).drop("total_before")
+
+
+def select_ids(all_ids: DataFrame, mode: str, order: str, ids: DataFrame | None = None, assigned: DataFrame | None = None, k: int = 5, seed: int | None = None) -> DataFrame:
+    """``all_ids`` (order, variant_id) in a mode: all, ids_file (those in ``ids``), or cluster_sample_k (``per_cluster`` of ``assigned``); the order is kept."""
+    mode = mode.strip().lower()
+    if mode == "all":
+        return all_ids.orderBy(order)
+    if mode == "ids_file" and ids is not None:
+        return only(all_ids, ids.withColumnRenamed("id", "variant_id"), "variant_id").orderBy(order)
+    if mode == "cluster_sample_k" and assigned is not None:
+        return only(all_ids, per_cluster(assigned, k, seed), "variant_id").orderBy(order)
+    raise ValueError(f"mode {mode!r} is unknown or lacks its table")

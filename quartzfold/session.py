@@ -31,13 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _cuts(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quartzfold-{spark.sparkContext.applicationId}"
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the tables that this application has written with ``cut``; frames read from them can't be used after that."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_cuts(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back, so that lineage ends there.
 
-    Survives the loss of executors and, unlike a cached frame, takes no executor memory.
+    Survives the loss of executors and, unlike a cached frame, takes no executor memory. ``drop_cuts`` deletes the tables.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quartzfold-{uuid.uuid4().hex}"
+    path = f"{_cuts(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quartzfold.operators.library import LibrarySpec
 
@@ -34,9 +35,13 @@ def read_positions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
-    """A CSV table with a header under a given schema, ids as text; ValueError names the required columns it lacks."""
-    header = spark.read.option("header", True).csv(path).columns
-    absent = sorted(set(required) - set(header))
+    """The columns of ``schema`` from a CSV table with a header, whatever others it has and in whatever order.
+
+    Nothing is inferred: ids stay text, values that don't fit their type are null, absent columns are null. ValueError
+    names the required columns that the table lacks.
+    """
+    found = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    absent = sorted(set(required) - set(found.columns))
     if absent:
         raise ValueError(f"missing columns in {path}: {absent}")
-    return spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
+    return found.select(*[(F.col(f"`{f.name}`") if f.name in found.columns else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])

@@ -10,11 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quartzfold.constants import MAX_SURFACE
+
 
 def read_lines(spark: SparkSession, path: str, pattern: str = "*.pdb") -> DataFrame:
     """variant_id (the file name without its last suffix), line_no, line of every file below ``path`` that matches."""
     whole = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True)
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    # file names come with their special characters escaped, as in addresses
+    plain = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    name = F.regexp_replace(plain, r"\.[^.]*$", "")
     lines = whole.select(name.alias("variant_id"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), "\r\n|\n")).alias("line_no", "line"))
     return lines.select("variant_id", "line_no", "line")
 
@@ -42,18 +46,21 @@ def alpha_coordinates(atom_rows: DataFrame) -> DataFrame:
 
 
 def residues(lines: DataFrame) -> DataFrame:
-    """Residues of secondary-structure files in the classic fixed-width layout: variant_id, dssp_index, resseq, aa, ss, acc.
+    """Residues of secondary-structure files in the classic fixed-width layout: variant_id, dssp_index, resseq, aa, ss, acc, rasa.
 
     Rows follow the line whose third character is ``#``; chain breaks (``!``) are left out, lower-case letters (bridged
-    cysteines) are C.
+    cysteines) are C. ``rasa`` is the surface as a share of the residue's largest, at most 1, null for unknown residues.
     """
     head = lines.where(F.substring("line", 3, 1) == "#").groupBy("variant_id").agg(F.min("line_no").alias("_head"))
     rows = lines.join(head, "variant_id").where((F.col("line_no") > F.col("_head")) & (F.substring("line", 14, 1) != "!"))
     aa = F.substring("line", 14, 1)
-    return rows.select(
+    largest = F.create_map(*[F.lit(x) for pair in MAX_SURFACE.items() for x in pair])
+    out = rows.select(
         "variant_id", F.trim(F.substring("line", 1, 5)).try_cast("int").alias("dssp_index"), F.trim(F.substring("line", 6, 5)).try_cast("int").alias("resseq"),
         F.when(aa.rlike("[a-z]"), "C").otherwise(aa).alias("aa"), F.substring("line", 17, 1).alias("ss"), F.trim(F.substring("line", 35, 4)).try_cast("double").alias("acc"),
     )
+    share = F.col("acc") / F.element_at(largest, F.col("aa"))
+    return out.withColumn("rasa", F.when(share.isNotNull(), F.least(share, F.lit(1.0))))
 
 
 def read_vectors(spark: SparkSession, path: str, key: str = "emb") -> DataFrame:
