@@ -76,4 +76,4 @@ def top_n(df: DataFrame, group: list[str], score: str, item: str, n: int, held_r
 
 def latest_value(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """The ``value`` of each key's row with the highest ``order``, null where that row has none."""
-    return df.groupBy(key).agg(F.max(F.struct(order, value))[value].alias(value))
+    return df.groupBy(key).agg(F.max_by(value, order).alias(value))
