@@ -228,13 +228,27 @@ class Chain:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a logistic regression with a ridge, by Newton's method."""
+    """Weights of a logistic regression with a ridge, by Newton's method; steps that don't lower the loss are halved.
+
+    Nearly separable labels make full steps overshoot for good, which would lose a subject.
+    """
     w = np.zeros(x.shape[1])
-    for _ in range(25):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * (w @ w))
+
+    now = loss(w)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        size = 1.0
+        while size > 1e-6 and (then := loss(w + size * step)) > now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w, now = w + size * step, then
+        if np.abs(size * step).max() < 1e-6:
             break
     return w
 

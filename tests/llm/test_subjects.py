@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from quartzfold.llm.prose import own_prose, sentences
-from quartzfold.llm.subjects import Subjects, fit_subjects, subject_shares, subjects_of
+from quartzfold.llm.subjects import Subjects, _logistic, fit_subjects, subject_shares, subjects_of
 
 
 @pytest.mark.parametrize(
@@ -84,3 +85,16 @@ def test_no_labels_and_no_posts(spark):
     model = fit_subjects(posts, spark.createDataFrame([], LABELS), areas, Subjects(rounds=1))
     assert subjects_of(posts, model).count() == 0
     assert subjects_of(posts.where("false"), model).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("ridge", [1.0, 1e-3])
+def test_logistic_on_nearly_separable_labels(seed, ridge):
+    draw = np.random.default_rng(seed)
+    share = np.where(draw.random(4000) < 0.1, draw.random(4000), 0.0)
+    x = np.stack([np.ones(4000), share, share >= 0.25, np.clip((share - 0.25) / 0.05, -1, 1), np.log1p(share * 10), share > 0], axis=1)
+    y = ((share >= 0.25) ^ (draw.random(4000) < 0.0005)).astype(float)
+    w = _logistic(x, y, ridge)
+    slope = x.T @ (y - 1 / (1 + np.exp(-x @ w))) - ridge * w
+    assert np.abs(slope).max() < 1e-3
+    assert (((x @ w) > 0) == (y > 0)).mean() > 0.995
