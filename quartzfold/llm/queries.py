@@ -132,10 +132,24 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p4_subsets": p4_subsets, "p4_sizes": p4_sizes, "p5_found": p5_found, "p5_labels": p5_labels, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_filling": p7_filling, "p8_found": p8_found, "p8_shares": p8_shares}
+_PATH = r"regexp_replace(regexp_replace(embedding_path, '^(?:\./)+', ''), '/(?:\.?/)+', '/', 'g')"
 SQL = {
     "p3_found": """
 WITH latest AS (SELECT variant_id, mean_hydrophobic_rasa AS v FROM structural_metrics QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY row_id DESC) = 1),
 pairs AS (SELECT DISTINCT template_id, variant_id FROM cluster_assignments WHERE template_id IS NOT NULL AND variant_id IS NOT NULL)
 SELECT template_id, variant_id FROM pairs JOIN latest USING (variant_id) WHERE v IS NOT NULL AND NOT isnan(v) AND v BETWEEN 0 AND 1
 QUALIFY row_number() OVER (PARTITION BY template_id ORDER BY v, variant_id) <= 5""",
+    # all pairs by distance, then the least member that links lead to; fit for small tables only
+    "p5_found": f"""
+WITH RECURSIVE files AS (SELECT DISTINCT {_PATH} AS path, emb_mean::DOUBLE[] AS v FROM embedding_files
+  WHERE len(emb_mean) = 16 AND len(list_filter(emb_mean, lambda x: x IS NOT NULL AND isfinite(x))) = 16 AND len(list_filter(emb_mean, lambda x: x <> 0)) > 0),
+one AS (SELECT path, min(v) AS v FROM files GROUP BY path),
+nodes AS (SELECT variant_id AS a, arg_min(v, row_id)::DOUBLE[16] AS v FROM embeddings_index JOIN one ON path = {_PATH}
+  WHERE status IN ('ok', 'skipped') AND variant_id IS NOT NULL GROUP BY variant_id),
+near AS MATERIALIZED (SELECT x.a AS a, y.a AS b FROM nodes x, nodes y WHERE array_distance(x.v, y.v) <= 1.0),
+least AS (SELECT a, min(b) AS b FROM near GROUP BY a),
+links AS MATERIALIZED (SELECT DISTINCT l.b AS a, m.b AS b FROM near JOIN least l ON l.a = near.a JOIN least m ON m.a = near.b),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+first AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT first.b AS first_variant_id, least.a AS variant_id FROM least JOIN first ON first.a = least.b WHERE least.a <> first.b""",
 }
