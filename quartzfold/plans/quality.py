@@ -86,6 +86,13 @@ good AS (
   UNION ALL
   SELECT line_id FROM sv WHERE variant_id <> '' AND path <> '' AND reason <> '' AND NOT {_DIRTY})
 """
+_P1_VALID = """
+SELECT line_id, 'prediction_report' AS report_name, variant_id, NULL AS pdb_path, path AS out_pdb_path, status, reason,
+  CASE WHEN regexp_matches(code, '^[0-9]{1,18}$') THEN code::BIGINT END AS status_code,
+  CASE WHEN regexp_matches(attempts, '^[0-9]{1,18}$') THEN attempts::BIGINT END AS attempts, elapsed::DOUBLE AS elapsed_seconds
+FROM pv WHERE line_id IN (SELECT line_id FROM good)
+UNION ALL
+SELECT line_id, 'skipped_structures', variant_id, path, NULL, NULL, reason, NULL, NULL, NULL FROM sv WHERE line_id IN (SELECT line_id FROM good)"""
 _PATH = lambda c: rf"regexp_replace(regexp_replace({c}, '^(?:\./)+', ''), '/(?:\.?/)+', '/', 'g')"
 
 
@@ -106,6 +113,7 @@ _P2 = " UNION ALL ".join([
 QUERIES = {"p1_found": p1_found, "p1_valid": p1_valid, "p1_rejected": p1_rejected, "p1_reject_counts": p1_reject_counts, "p2_found": p2_found, "p2_missing_by_month": p2_missing_by_month}
 SQL = {
     "p1_found": _P1 + "SELECT line_id FROM raw_reports WHERE line_id NOT IN (SELECT line_id FROM good)",
+    "p1_valid": _P1 + _P1_VALID,
     "p1_reject_counts": _P1 + "SELECT report_name, count(*) AS n_lines, count(*) FILTER (WHERE line_id NOT IN (SELECT line_id FROM good)) AS n_rejected FROM raw_reports GROUP BY report_name",
     "p2_found": f"SELECT table_name, ref_month, row_id FROM ({_P2}) x",
     "p2_missing_by_month": f"SELECT table_name, parent_table, ref_month, count(*) AS n_missing FROM ({_P2}) x GROUP BY ALL",
