@@ -13,7 +13,8 @@ SIGNATURE = regex.compile(r"^(?:-- ?|\*{3}|_{10})$|<hr ?/?>|\[size=1\]", regex.M
 BREAK = regex.compile(r"<(?:br|rb|p|/p)[^>\n]{0,4}>", regex.I)
 LINK = regex.compile(r"\[url=[^\]\n]*\][^\n]*?(?:\[/url\]|$)|\[img\][^\n]*?(?:\[/img\]|$)|https?://\S+", regex.I | regex.M)
 TAG = regex.compile(r"</?[a-z]{1,10}[^>\n]{0,20}>|\[/?[a-z]{1,8}(?:=[^\]\n]{0,40})?\]", regex.I)
-SENTENCE = regex.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n+|(?<=[.!?]) ?(?=\p{Lu})|(?<=[。！？])")
+# the first test fails at nearly every place, so that the others are seldom tried
+SENTENCE = regex.compile(r"(?<=[.!?…。！？])(?:(?<=[.!?…])[\"')\]]*\s+|\n+|(?<=[.!?]) ?(?=\p{Lu})|(?<=[。！？]))|\n+")
 WORD = regex.compile(r"\p{L}+(?:['’]\p{L}+)?|\d+")
 LONG, USUAL = 28, 13
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,25 +38,25 @@ class Subjects:
     sources: int = 8
 
 
-_seen: dict[tuple[str, int], list[int]] = {}
+_seen: dict[int, dict[str, list[int]]] = {}
 
 
 def _word_terms(word: str, size: int) -> list[int]:
     """The hashed word and, if it is long, its runs of four letters, which typing errors and endings leave alone."""
-    found = _seen.get((word, size))
-    if found is None:
-        runs = {f"#{r}" for i in range(len(word) - 1) if (r := f"<{word}>"[i : i + 4])} if len(word) > 3 else set()
-        found = [zlib.crc32(t.encode("utf-8", "replace")) % size for t in [word, *sorted(runs)]]
-        if len(_seen) > 200_000:
-            _seen.clear()
-        _seen[word, size] = found
-    return found
+    runs = {f"#{r}" for i in range(len(word) - 1) if (r := f"<{word}>"[i : i + 4])} if len(word) > 3 else set()
+    return [zlib.crc32(t.encode("utf-8", "replace")) % size for t in [word, *sorted(runs)]]
 
 
 def sentence_terms(words: list[str], size: int) -> list[int]:
     """The hashed terms of a sentence: words, parts of words, pairs of neighbours; each once, in order."""
-    each = [_word_terms(w, size) for w in words]
-    return sorted({*(i for t in each for i in t), *((a[0] * 31 + b[0] * 17 + 7) % size for a, b in zip(each, each[1:]))})
+    known = _seen.setdefault(size, {})
+    if len(known) > 200_000:
+        known.clear()
+    each = [known.get(w) or known.setdefault(w, _word_terms(w, size)) for w in words]
+    heads = [t[0] for t in each]
+    found = set().union(*each)
+    found.update([(a * 31 + b * 17 + 7) % size for a, b in zip(heads, heads[1:])])
+    return sorted(found)
 
 
 def structure(text: str, prose: str, found: int) -> list[float]:
@@ -79,7 +80,7 @@ class TermModel:
 
     def _csr(self, rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = self.place[np.fromiter((i for r in rows for i in r), np.int64, int(lengths.sum()))]
+        flat = self.place[np.fromiter(chain.from_iterable(rows), np.int64, int(lengths.sum()))]
         known = flat >= 0
         row = np.repeat(np.arange(len(rows)), lengths)[known]
         return flat[known], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(rows)))])
@@ -130,7 +131,7 @@ class TermModel:
         Returns the probabilities of each sentence by the model of the other half.
         """
         how, n = self.how, len(rows)
-        count = np.bincount(np.fromiter((i for r in rows for i in r), np.int64), minlength=how.terms) if n else np.zeros(how.terms, np.int64)
+        count = np.bincount(np.fromiter(chain.from_iterable(rows), np.int64), minlength=how.terms) if n else np.zeros(how.terms, np.int64)
         kept = np.flatnonzero(count >= 2)
         self.n_terms = max(len(kept), 1)
         self.place[kept] = np.arange(len(kept))
