@@ -242,24 +242,91 @@ def similar_groups(nodes: DataFrame, how: Alike = Alike()) -> tuple[DataFrame, D
     return labels, banded.where("kind = 1").select("a", "b").unionByName(links.select("a", "b"))
 
 
-def loose_parts(labels: DataFrame, links: DataFrame, nodes: DataFrame, how: Alike = Alike()) -> DataFrame:
-    """``node``, ``cluster`` and ``part``: loose clusters are split around the medoids with the most links.
+def _facing(x: np.ndarray, y: np.ndarray, how: Alike) -> Iterator[tuple[slice, np.ndarray]]:
+    """Which of all pairs of rows of two blocks are within the radius, for slices of the first; pairs at the limit are computed exactly."""
+    x, y = x - y[0], y - y[0]
+    xx, yy = (x**2).sum(axis=1), (y**2).sum(axis=1)
+    for at in range(0, len(x), 512):
+        rows = slice(at, at + 512)
+        over = xx[rows, None] + yy - 2 * (x[rows] @ y.T) - how.radius**2
+        slack = 1e-9 * (1 + xx[rows].max() + yy.max())
+        hit = over < -slack
+        i, j = np.nonzero(np.abs(over) <= slack)
+        hit[i, j] = ((x[rows][i] - y[j]) ** 2).sum(axis=1) <= how.radius**2
+        yield rows, hit
+
+
+def _by_blocks(members: DataFrame, how: Alike, block: int, best: bool) -> DataFrame:
+    """What each member (cluster, node, weight, n, vector) meets among all alike members of its cluster, itself included.
+
+    Without ``best`` node and n, the sum of their weights; with it node and medoid, the one with the greatest n (equal
+    ones: the least node). A cluster of more than ``block`` members falls into slabs along its widest dimension, of which
+    only neighbours can hold alike pairs, and these into blocks by hash; each two blocks are one unit of work. Small
+    clusters share units.
+    """
+    dims = range(how.dim)
+    wide = F.array(*[F.max(F.col("vector")[i]) - F.min(F.col("vector")[i]) for i in dims])
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), wide.alias("wide")).select("cluster", "size", (F.array_position("wide", F.array_max("wide")) - 1).cast("int").alias("axis"))
+    placed = members.join(sizes, "cluster")
+    small = placed.where(F.col("size") <= block)
+    lots = max(1, small.count() // block)
+    shared = small.select(F.pmod(F.xxhash64("cluster"), F.lit(lots)).alias("lot"), *[F.lit(-1).cast("bigint").alias(c) for c in ("s", "t")], *[F.lit(0).alias(c) for c in ("p", "q")], F.lit(True).alias("left"), F.lit(True).alias("right"), "cluster", "node", "weight", "n", "vector")
+    slab = placed.where(F.col("size") > block).withColumn("slab", F.floor(F.element_at("vector", F.col("axis") + 1) / (how.radius * (1 + 1e-6))).cast("bigint"))
+    many = slab.groupBy("cluster", "slab").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    slab = slab.join(many, ["cluster", "slab"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = many.select("cluster", F.col("slab").alias("oslab"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("oblock"))
+    sent = slab.withColumn("oslab", F.explode(F.array(*[F.col("slab") + k for k in (-1, 0, 1)]))).join(other, ["cluster", "oslab"])
+    own, far = F.struct(F.col("slab").alias("s"), F.col("mine").alias("p")), F.struct(F.col("oslab").alias("s"), F.col("oblock").alias("p"))
+    lo, hi = F.least(own, far), F.greatest(own, far)
+    apart = sent.select(F.col("cluster").alias("lot"), lo["s"].alias("s"), hi["s"].alias("t"), lo["p"].alias("p"), hi["p"].alias("q"), (own == lo).alias("left"), (own == hi).alias("right"), "cluster", "node", "weight", "n", "vector")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        cluster, node, weight, n, left, right = (t[c].to_numpy() for c in ("cluster", "node", "weight", "n", "left", "right"))
+        x = _matrix(t["vector"].chunk(0), how.dim)
+        order = np.argsort(cluster, kind="stable")
+        nodes, found = [], []
+        for own in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+            sides = [own[left[own]], own[right[own]]]
+            if not (len(sides[0]) and len(sides[1])):
+                continue
+            for a, b in [sides] if np.array_equal(*sides) else [sides, sides[::-1]]:
+                b = b[np.lexsort((node[b], -n[b]))]
+                for rows, hit in _facing(x[a], x[b], how):
+                    some = hit.any(axis=1)
+                    nodes.append(node[a[rows]][some])
+                    found.append(b[hit[some].argmax(axis=1)] if best else hit[some] @ weight[b])
+        nodes, found = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (nodes, found))
+        return pa.table({"node": nodes, "n": n[found], "medoid": node[found]} if best else {"node": nodes, "n": found})
+
+    each = shared.unionByName(apart).groupBy("lot", "s", "t", "p", "q").applyInArrow(run, "node bigint, n bigint, medoid bigint" if best else "node bigint, n bigint")
+    if not best:
+        return each.groupBy("node").agg(F.sum("n").alias("n"))
+    return each.groupBy("node").agg((-F.max(F.struct("n", (-F.col("medoid")).alias("who")))["who"]).alias("medoid"))
+
+
+def loose_parts(labels: DataFrame, links: DataFrame, nodes: DataFrame, how: Alike = Alike(), block: int = 4096) -> DataFrame:
+    """``node``, ``cluster`` and ``part``: loose clusters are split around the medoids with the most alike members.
 
     A cluster is loose if a member lies further than the radius from its mean. There each member follows the node with
-    the most links among itself and those it is linked to (equal numbers: the least node); a compact cluster is one
-    part, named by its label.
+    the most alike members among itself and those it is alike to (equal numbers: the least node); a compact cluster is
+    one part, named by its label. ``links`` join clusters, but most end at the first of a bucket: they are not used.
+
+    All pairs of a loose cluster count, held against each other in blocks, with equal vectors as one weighted member. The
+    work grows with the square of the different vectors in a slab of a loose cluster, in units of ``block``.
     """
     dims = range(how.dim)
     placed = labels.join(nodes.select("node", "vector"), "node")
     mean = placed.groupBy("cluster").agg(F.array(*[F.avg(F.col("vector")[i]) for i in dims]).alias("centre"))
     off = F.sqrt(sum(((F.col("vector")[i] - F.col("centre")[i]) * (F.col("vector")[i] - F.col("centre")[i]) for i in dims), F.lit(0.0)))
-    loose = placed.join(mean, "cluster").groupBy("cluster").agg(F.max(off).alias("reach")).where(F.col("reach") > how.radius).select("cluster", F.lit(True).alias("loose"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    rank = lambda n, who: F.struct(n, (-F.col(who)).alias("who"))
-    near = both.join(degree.withColumnRenamed("a", "b"), "b").select(F.col("a").alias("node"), rank(F.col("n"), "b").alias("best"))
-    own = degree.select(F.col("a").alias("node"), rank(F.col("n"), "a").alias("best"))
-    medoid = near.unionByName(own).groupBy("node").agg((-F.max("best")["who"]).alias("medoid"))
+    loose = cut(placed.join(mean, "cluster").groupBy("cluster").agg(F.max(off).alias("reach")).where(F.col("reach") > how.radius).select("cluster", F.lit(True).alias("loose")))
+    inside = placed.join(loose, "cluster").select("cluster", "node", F.col("vector").cast("array<double>").alias("vector"))
+    inside = cut(inside)
+    members = cut(inside.groupBy("cluster", "vector").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("weight")).withColumn("n", F.lit(0).cast("bigint")))
+    degree = _by_blocks(members, how, block, False)
+    ranked = cut(members.drop("n").join(degree, "node"))
+    medoid = members.select("cluster", "vector", "node").join(_by_blocks(ranked, how, block, True), "node").drop("node")
+    medoid = inside.join(medoid, ["cluster", "vector"]).select("node", "medoid")
     return labels.join(loose, "cluster", "left").join(medoid, "node", "left").select("node", "name", "cluster", F.when(F.col("loose"), F.coalesce("medoid", "node")).otherwise(F.col("cluster")).alias("part"))
 
 

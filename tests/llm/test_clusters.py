@@ -52,6 +52,24 @@ def test_against_all_pairs(spark, chunk):
         assert len(r["typical"]) == min(3, len(own)) and np.isclose(((x[int(r["typical"][0][1:])] - x[own].mean(axis=0)) ** 2).sum(), off.min(), atol=1e-6)
 
 
+@pytest.mark.parametrize(("chunk", "block"), [(100, 40), (32_768, 4096)])
+def test_parts_against_all_pairs(spark, chunk, block):
+    draw, how = np.random.default_rng(8), Alike(chunk=chunk)
+    x = draw.normal(size=(260, 16)) * 0.17 + np.eye(16)[2] * draw.uniform(0, 4, (260, 1))  # a long crowd
+    x = np.concatenate([x, x[[200] * 30], vectors()[:80]]).astype(np.float32).astype(float)
+    x = x[draw.permutation(len(x))]
+    nodes = spark.createDataFrame([(i, f"n{i}", v.tolist(), 0) for i, v in enumerate(x)], SCHEMA).repartition(5)
+    labels, links = similar_groups(nodes, how)
+    wanted = brute(x)
+    near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= 1
+    most = near.sum(axis=1)
+    loose = {c: np.sqrt(((x[wanted == c] - x[wanted == c].mean(axis=0)) ** 2).sum(axis=1)).max() > 1 for c in set(wanted)}
+    part = [min(np.flatnonzero(near[i]), key=lambda j: (-most[j], j)) if loose[wanted[i]] else wanted[i] for i in range(len(x))]
+    assert len({p for p, c in zip(part, wanted, strict=True) if loose[c]}) > 3
+    got = {r["node"]: (r["cluster"], r["part"]) for r in loose_parts(labels, links, nodes, how, **({} if block == 4096 else {"block": block})).collect()}
+    assert got == {i: (c, p) for i, (c, p) in enumerate(zip(wanted, part, strict=True))}
+
+
 def test_no_alike_pair_is_below_the_bound():
     draw, how = np.random.default_rng(1), Alike()
     x = draw.normal(size=(20_000, 16)) * 5
