@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def _best(rows: pa.Table, group: list[str], score: str, item: str, n: int) -> pa.Table:
-    """The first ``n`` different items of each group by score, then item; rows must have no null in these columns."""
+    """The first ``n`` different items of each group, each at its lowest score, by score, then item; rows must have no null in these columns."""
     order = pc.sort_indices(rows, [(c, "ascending") for c in [*group, score, item]])
     rows = rows.take(order)
     size = rows.num_rows
@@ -24,9 +24,11 @@ def _best(rows: pa.Table, group: list[str], score: str, item: str, n: int) -> pa
     ids = [np.asarray((c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).indices) for c in codes]
     for v in ids[:-1]:
         new_group[1:] |= v[1:] != v[:-1]
-    scores = rows[score].to_numpy()
+    # rows of an item lie by score within its group, so a stable sort by group and item puts its lowest score first
+    number = np.cumsum(new_group)
+    by_item = np.lexsort((ids[-1], number))
     again = np.zeros(size, bool)
-    again[1:] = ~new_group[1:] & (ids[-1][1:] == ids[-1][:-1]) & (scores[1:] == scores[:-1])
+    again[by_item[1:]] = (number[by_item[1:]] == number[by_item[:-1]]) & (ids[-1][by_item[1:]] == ids[-1][by_item[:-1]])
     kept = np.flatnonzero(~again)
     first = np.flatnonzero(new_group[kept])
     place = np.arange(len(kept)) - np.repeat(first, np.diff([*first, len(kept)]))

@@ -28,6 +28,14 @@ def test_against_sorting(spark, held):
     assert got == {k: {n + 1: (s, i) for n, (s, _, i) in enumerate(sorted(v)[:5])} for k, v in wanted.items()}
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_an_item_with_several_scores_takes_one_place(spark, parts):
+    rows = [("g", 1.0, "A"), ("g", 2.0, "A"), ("g", 3.0, "A"), ("g", 4.0, "B"), ("h", 2.0, "A"), ("h", 1.0, "B"), ("h", 1.5, "B"), ("h", 3.0, "C")]
+    df = spark.createDataFrame(rows, "g string, score double, item string").repartition(parts)
+    got = {(r["g"], r["place"], r["item"], r["score"]) for r in top_n(df, ["g"], "score", "item", 2).collect()}
+    assert got == {("g", 1, "A", 1.0), ("g", 2, "B", 4.0), ("h", 1, "B", 1.0), ("h", 2, "A", 2.0)}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "g string, score double, item string")
     assert top_n(none, ["g"], "score", "item", 3).count() == 0
