@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quartzfold.operators.blocks import cluster_large, quantiles
 from quartzfold.operators.rmsd import distances
 
 
 @dataclass(frozen=True)
 class ClusterSpec:
-    """``most`` bounds the structures of a group that one task may hold; larger groups come out with a note, and
-    ``single_linkage`` clusters them at a fixed cutoff in blocks."""
+    """``most`` bounds the structures of a group whose distances one task may hold; with ``beyond`` larger groups are
+    clustered in blocks (single linkage only), else they come out with a note."""
 
     linkage: str = "single"
     cutoffs: int = 50
@@ -26,6 +27,7 @@ class ClusterSpec:
     fixed: float | None = None
     superposed: bool = True
     most: int = 5000
+    beyond: bool = False
 
     def __post_init__(self) -> None:
         if self.linkage not in ("single", "complete", "average"):
@@ -69,12 +71,14 @@ def labels_at(steps: list[tuple[float, int, int]], n: int, cutoff: float) -> np.
 
 def silhouette(d: np.ndarray, labels: np.ndarray) -> float:
     """The mean of (b - a) / max(a, b) over items, 0 for an item alone in its cluster."""
-    k = labels.max()
-    member = (labels[:, None] == np.arange(1, k + 1)).astype(float)
-    size = member.sum(axis=0)
-    total = d @ member
+    return silhouette_of(d @ (labels[:, None] == np.arange(1, labels.max() + 1)).astype(float), labels)
+
+
+def silhouette_of(total: np.ndarray, labels: np.ndarray) -> float:
+    """The silhouette from the sums of each item's distances by label."""
+    size = np.bincount(labels - 1).astype(float)
     own = labels - 1
-    rows = np.arange(len(d))
+    rows = np.arange(len(total))
     alone = size[own] == 1
     a = total[rows, own] / np.maximum(size[own] - 1, 1)
     mean = total / size
@@ -122,13 +126,15 @@ OUT = "cluster_id int, is_medoid boolean, cutoff double, silhouette double, n_cl
 def cluster_groups(structures: DataFrame, spec: ClusterSpec = ClusterSpec()) -> DataFrame:
     """One row per structure (group_id, item, coords): its cluster, whether it is the medoid, the cutoff, and a note.
 
-    Items are taken in their own order. Groups with fewer than two structures, with unequal lengths or with more than
-    ``spec.most`` structures get null clusters and the reason as note; no group fails another.
+    Items are taken in their own order. Groups with fewer than two structures or with unequal lengths get null clusters
+    and the reason as note, as do those of more than ``spec.most`` structures that ``spec.beyond`` doesn't cover; no group
+    fails another.
     """
     kinds = dict(structures.dtypes)
     sized = structures.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.size("coords")).alias("lengths"))
-    note = F.when(F.col("n") < 2, "too_few_structures").when(F.col("n") > spec.most, "too_many_structures").when(F.col("lengths") > 1, "cluster_failed: structures differ in length")
-    noted = structures.join(sized.select("group_id", note.alias("note")), "group_id")
+    beyond = spec.beyond and spec.linkage == "single"
+    note = F.when(F.col("n") < 2, "too_few_structures").when((F.col("n") > spec.most) & F.lit(not beyond), "too_many_structures").when(F.col("lengths") > 1, "cluster_failed: structures differ in length")
+    noted = structures.join(sized.select("group_id", note.alias("note"), (F.col("n") > spec.most).alias("large")), "group_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item")
@@ -139,13 +145,15 @@ def cluster_groups(structures: DataFrame, spec: ClusterSpec = ClusterSpec()) ->
         cutoff, s, labels = cutoff_search(d, spec)
         return pdf[["group_id", "item"]].assign(cluster_id=labels, is_medoid=medoids(d, labels), cutoff=cutoff, silhouette=s, n_clusters=int(labels.max()), note="")
 
-    done = noted.where("note is null").select("group_id", "item", "coords").groupBy("group_id").applyInPandas(run, f"group_id {kinds['group_id']}, item {kinds['item']}, {OUT}")
+    done = noted.where("note is null and not large").select("group_id", "item", "coords").groupBy("group_id").applyInPandas(run, f"group_id {kinds['group_id']}, item {kinds['item']}, {OUT}")
     rest = noted.where("note is not null").selectExpr("group_id", "item", "cast(null as int) cluster_id", "cast(null as boolean) is_medoid", "cast(null as double) cutoff", "cast(null as double) silhouette", "cast(null as int) n_clusters", "note")
-    return done.unionByName(rest)
+    done = done.unionByName(rest)
+    large = noted.where("note is null and large").select("group_id", "item", "coords")
+    return done if not beyond or large.isEmpty() else done.unionByName(cluster_large(large, spec, silhouette_of))
 
 
 def distance_summary(structures: DataFrame, spec: ClusterSpec = ClusterSpec()) -> DataFrame:
-    """Per group the number of pairs, the mean distance and the two quantiles between which cutoffs are sought; groups above ``spec.most`` are left out."""
+    """Per group the number of pairs, the mean distance and the two quantiles between which cutoffs are sought; groups above ``spec.most`` are held against each other in blocks."""
     kinds = dict(structures.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,8 +162,13 @@ def distance_summary(structures: DataFrame, spec: ClusterSpec = ClusterSpec()) -
         low, high = np.quantile(d, [spec.low, spec.high])
         return pd.DataFrame({"group_id": [pdf.group_id.iloc[0]], "n_pairs": [len(d)], "mean_distance": [d.mean()], "low_cutoff": [low], "high_cutoff": [high]})
 
-    small = structures.groupBy("group_id").count().where(f"count between 2 and {spec.most}").select("group_id")
-    return structures.join(small, "group_id").select("group_id", "item", "coords").groupBy("group_id").applyInPandas(run, f"group_id {kinds['group_id']}, n_pairs bigint, mean_distance double, low_cutoff double, high_cutoff double")
+    schema = f"group_id {kinds['group_id']}, n_pairs bigint, mean_distance double, low_cutoff double, high_cutoff double"
+    sized = structures.join(structures.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")), "group_id")
+    pick = lambda where: sized.where(where).select("group_id", "item", "coords")
+    done, large = pick(f"n between 2 and {spec.most}").groupBy("group_id").applyInPandas(run, schema), pick(f"n > {max(spec.most, 1)}")
+    if large.isEmpty():
+        return done
+    return done.unionByName(structures.sparkSession.createDataFrame([(g, *v) for g, v in quantiles(large, [spec.low, spec.high], spec.superposed).items()], schema))
 
 
 def label_quality(structures: DataFrame, spec: ClusterSpec = ClusterSpec()) -> DataFrame:

@@ -31,11 +31,21 @@ def rmsd(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def distances(points: np.ndarray, others: np.ndarray, superposed: bool) -> np.ndarray:
     """All distances between two blocks of structures; Euclidean ones of flat vectors without superposition."""
     if not superposed:
-        return np.sqrt(np.maximum(((points[:, None] - others[None]) ** 2).sum(axis=2), 0))
+        step = max(1, 2**22 // max(1, others.size))  # bounds the differences held at once
+        return np.concatenate([np.sqrt(((points[i : i + step, None] - others[None]) ** 2).sum(axis=2)) for i in range(0, len(points), step)])
     x, y = points.reshape(len(points), -1, 3), others.reshape(len(others), -1, 3)
     return np.stack([rmsd(np.broadcast_to(a, y.shape), y) for a in x])
 
 
+def block_pairs(structures: DataFrame, block: int) -> DataFrame:
+    """Rows of ``structures`` (group_id, item) for each unit of work: ``mine``, the row's block by hash, and the unit's blocks ``p`` <= ``q``."""
+    sizes = structures.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = structures.join(sizes, "group_id").withColumn("mine", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    # an item goes to its own block's row and column of the triangle of block pairs
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.select(*structures.columns, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine")
+
+
 def close_pairs(structures: DataFrame, cutoff: float, superposed: bool = True, block: int = 256) -> DataFrame:
     """Pairs a < b of one group within ``cutoff``: group_id, a, b.
 
@@ -43,11 +53,7 @@ def close_pairs(structures: DataFrame, cutoff: float, superposed: bool = True, b
     pair). Items fall into blocks by hash; each two blocks of a group are one unit of work, so a large group spreads
     over many tasks, and only pairs within the cutoff come out.
     """
-    sizes = structures.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = structures.join(sizes, "group_id").withColumn("mine", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    # an item goes to its own block's row and column of the triangle of block pairs
-    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = each.select("group_id", "item", "coords", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine")
+    sent = block_pairs(structures, block)
 
     def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, p, q = key

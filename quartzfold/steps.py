@@ -71,7 +71,7 @@ def _by_template(spark: SparkSession, structures: str) -> DataFrame:
     return alpha_coordinates(atoms(read_lines(spark, structures))).select(default_group(F.col("variant_id")).alias("group_id"), F.col("variant_id").alias("item"), "coords")
 
 
-def cluster(spark: SparkSession, structures: str, out: str, spec: ClusterSpec = ClusterSpec()) -> None:
+def cluster(spark: SparkSession, structures: str, out: str, spec: ClusterSpec = ClusterSpec(beyond=True)) -> None:
     """Cluster assignments and medoids of the structures of each template."""
     rows = cut(cluster_groups(_by_template(spark, structures), spec)).withColumnsRenamed({"group_id": "template_id", "item": "variant_id"})
     write_csv(rows, f"{out}/assignments")

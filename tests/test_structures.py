@@ -71,6 +71,17 @@ def test_clusters_of_groups(spark):
     assert d["g"]["n_pairs"] == 55 * 54 // 2 and "one" not in d
 
 
+@pytest.mark.parametrize("how", [{}, {"superposed": False}, {"fixed": 0.01}, {"greatest": 2}])
+def test_large_groups_in_blocks(spark, monkeypatch, how):
+    df = frames(spark).where("group_id <> 'odd'")
+    monkeypatch.setattr("quartzfold.operators.blocks.BLOCK", 20)
+    small, large = ClusterSpec(**how), ClusterSpec(most=10, beyond=True, **how)
+    near = lambda v: round(v, 9) if isinstance(v, float) else v
+    rows = lambda f: sorted((tuple(near(v) for v in r) for r in f.collect()), key=str)
+    assert rows(cluster_groups(df, large)) == rows(cluster_groups(df, small))
+    assert rows(distance_summary(df, large)) == rows(distance_summary(df, small))
+
+
 def test_blocks_find_all_close_pairs(spark):
     df = frames(spark)
     rows = [(r["group_id"], r["item"], np.array(r["coords"]).reshape(-1, 3)) for r in df.collect()]
