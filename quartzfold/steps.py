@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from quartzfold.functions.helices import topology_ranges, written
 from quartzfold.functions.sequences import default_group, motif_positions
 from quartzfold.operators.averaging import average_clusters
-from quartzfold.operators.clustering import ClusterSpec, cluster_groups
+from quartzfold.operators.clustering import ClusterSpec, assignment_rows, cluster_groups
 from quartzfold.operators.library import build_library, require_unique
 from quartzfold.operators.metrics import gate, mean_bfactor, residue_metrics, summary
 from quartzfold.operators.overlay import available_scores, overlay, overlay_report
 from quartzfold.operators.pca import fit_pca, load_pca, project, save_pca
 from quartzfold.operators.selecting import only
-from quartzfold.operators.topology import bundle_topology, helix_centroids
+from quartzfold.operators.topology import bundle_topology, connectivity_filter, helix_centroids
 from quartzfold.session import cut, ship
 from quartzfold.sinks.files import with_skipped, write_csv, write_fasta, write_structures
 from quartzfold.sources.fasta import read_fasta
@@ -71,9 +71,47 @@ def _by_template(spark: SparkSession, structures: str) -> DataFrame:
     return alpha_coordinates(atoms(read_lines(spark, structures))).select(default_group(F.col("variant_id")).alias("group_id"), F.col("variant_id").alias("item"), "coords")
 
 
-def cluster(spark: SparkSession, structures: str, out: str, spec: ClusterSpec = ClusterSpec(beyond=True)) -> None:
-    """Cluster assignments and medoids of the structures of each template."""
-    rows = cut(cluster_groups(_by_template(spark, structures), spec)).withColumnsRenamed({"group_id": "template_id", "item": "variant_id"})
+def _filtered(spark: SparkSession, structures: str, metrics: str, metadata: str, spec: ClusterSpec, most_rasa: float, least_cosine: float, helices: tuple[tuple[int, int], ...]) -> DataFrame:
+    """Assignments of every variant in ``metadata``, clustered without bad topology among those within the rASA limit."""
+    lines = read_lines(spark, structures)
+    atom_rows = cut(atoms(lines))
+    variants = read_csv(spark, metadata, "variant_id string, template_id string", ["variant_id", "template_id"]).na.drop().distinct()
+    variants = cut(variants.join(lines.select("variant_id", F.lit(True).alias("has")).distinct(), "variant_id", "left"))
+    files = variants.groupBy("template_id").agg(F.count("has").alias("n_files"))
+    there = variants.where("has").drop("has").join(files, "template_id")
+    measured = read_csv(spark, metrics, "variant_id string, mean_hydrophobic_rasa double", ["variant_id", "mean_hydrophobic_rasa"]).dropDuplicates(["variant_id"]).withColumnRenamed("mean_hydrophobic_rasa", "rasa")
+    ranges = there.select("variant_id").distinct().withColumn("ranges", F.array(*[F.struct(F.lit(x).alias("start"), F.lit(y).alias("end")) for x, y in helices]))
+    topology = bundle_topology(helix_centroids(atom_rows, ranges))
+    checked = connectivity_filter(there.join(measured, "variant_id", "left").select("template_id", "variant_id", "n_files", "rasa"), topology, most_rasa, least_cosine)
+    # a lone structure is not checked, as there is nothing to cluster
+    checked = cut(checked.withColumn("kept", F.col("kept") | (F.col("n_files") < 2)))
+    coords = F.coalesce("coords", F.array().cast("array<double>")).alias("coords")
+    kept = checked.where("kept").join(alpha_coordinates(atom_rows), "variant_id", "left").select(F.col("template_id").alias("group_id"), F.col("variant_id").alias("item"), coords)
+    done = cut(cluster_groups(kept, spec).withColumnsRenamed({"group_id": "template_id", "item": "variant_id"}))
+    dropped = checked.where("not kept")
+    rows = assignment_rows(done, variants.where("has is null"), dropped)
+    failed = done.where(F.col("note").startswith("cluster_failed")).groupBy("template_id").agg(F.max("note").alias("failed"))
+    rows = rows.join(files, "template_id").join(failed, "template_id", "left").join(dropped.select("template_id", "variant_id", F.col("note").alias("why")), ["template_id", "variant_id"], "left")
+    few = F.when((F.col("n_files") < 2) & (F.col("note") == "missing_pdb"), "missing_pdb_or_too_few_structures").when((F.col("n_files") >= 2) & (F.col("note") == "too_few_structures"), "too_few_structures_after_filtering")
+    return rows.withColumn("note", F.coalesce("failed", few, "why", "note")).drop("n_files", "failed", "why")
+
+
+def cluster(
+    spark: SparkSession, structures: str, out: str, spec: ClusterSpec = ClusterSpec(beyond=True), metrics: str | None = None, metadata: str | None = None, most_rasa: float = 0.25, least_cosine: float = 0.2,
+    helices: tuple[tuple[int, int], ...] = ((3, 10), (20, 26), (36, 44), (54, 60)),
+) -> None:
+    """Cluster assignments and medoids of the structures of each template.
+
+    With metrics and metadata of the library, structures with bad topology among those within the rASA limit are left out
+    first, templates are those of the metadata, and missing and filtered variants have a row too. Without them every
+    structure is clustered, by the template in its id.
+    """
+    if bool(metrics) != bool(metadata):
+        raise ValueError("metrics and metadata are needed together")
+    if metrics and metadata:
+        rows = cut(_filtered(spark, structures, metrics, metadata, spec, most_rasa, least_cosine, helices))
+    else:
+        rows = cut(cluster_groups(_by_template(spark, structures), spec)).withColumnsRenamed({"group_id": "template_id", "item": "variant_id"})
     write_csv(rows, f"{out}/assignments")
     write_csv(rows.where("is_medoid").select("template_id", "cluster_id", F.col("variant_id").alias("medoid_variant_id")), f"{out}/medoids")
 
@@ -115,7 +153,7 @@ def main(arguments: list[str] | None = None) -> None:
     options = {
         "library": (library, ["--fasta", "--config", "--out"], {"--token": {"action": "store_true"}}),
         "metrics": (metrics, ["--structures", "--secondary", "--out"], {"--metadata": {}, "--fasta": {}, "--motifs": {"nargs": "*", "default": ()}, "--width": {"type": int, "default": 8}, "--most-rasa": {"type": float, "default": 0.25}, "--least-cosine": {"type": float, "default": 0.2}}),
-        "cluster": (cluster, ["--structures", "--out"], {}),
+        "cluster": (cluster, ["--structures", "--out"], {"--metrics": {}, "--metadata": {}, "--most-rasa": {"type": float, "default": 0.25}, "--least-cosine": {"type": float, "default": 0.2}}),
         "average": (average, ["--structures", "--assignments", "--out"], {}),
         "pca": (pca, ["--vectors", "--out"], {"--k": {"type": int, "default": 10}, "--ids": {}}),
         "overlay": (write_scores, ["--structures", "--vectors", "--model", "--out"], {"--which": {"type": int, "default": 1}}),

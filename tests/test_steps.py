@@ -38,3 +38,30 @@ def test_all_steps(spark, tmp_path):
     main(["overlay", "--structures", p("pdb"), "--vectors", p("emb"), "--model", p("pca"), "--out", p("o"), "--which", "2"])
     report = csv("o/report")
     assert len(report) == 6 and {r["n_ca_written"] for r in report} == {"16"} and {r["reason"] for r in report} == {None}
+
+
+def test_cluster_step_filters_and_names_the_rest(spark, tmp_path):
+    draw = np.random.default_rng(4)
+    p = lambda x: str(tmp_path / x)
+    (tmp_path / "pdb").mkdir()
+    starts, good = (3, 20, 36, 54), draw.normal(size=(60, 3)) * 2
+    for k, s in enumerate(starts):
+        good[s - 1 : s + 6] += [40.0 * (k % 2), 15.0 * (k // 2), 0]  # both helix pairs lie along x
+    bad = good.copy()
+    bad[53:60] += [-40, 60, 0]
+    other = good[::-1] + draw.normal(size=good.shape) * 3
+    shapes = {"a": good, "b": good + draw.normal(size=good.shape) * 0.1, "c": other, "d": bad, "e": bad, "lone": bad, "f": good, "g": bad, "stray": good}
+    for n, x in shapes.items():
+        (tmp_path / "pdb" / f"{n}.pdb").write_text("\n".join(ATOM.format(k + 1, k + 1, *x[k], 50) for k in range(60)) + "\n")
+    rasa = {"a": 0.2, "b": 0.2, "c": "", "d": 0.2, "e": 0.9, "lone": 0.1, "f": 0.2, "g": 0.2, "stray": 0.9}
+    (tmp_path / "m.csv").write_text("variant_id,helix_fraction,mean_hydrophobic_rasa\n" + "".join(f"{n},1,{v}\n" for n, v in rasa.items()))
+    names = {"t": "abcdex", "u": ["lone", "y"], "v": "fgz"}
+    (tmp_path / "meta.csv").write_text("template_id,variant_id\n" + "".join(f"{t},{v}\n" for t, vs in names.items() for v in vs))
+    main(["cluster", "--structures", p("pdb"), "--out", p("c"), "--metrics", p("m.csv"), "--metadata", p("meta.csv")])
+    rows = {r["variant_id"]: r for r in spark.read.option("header", True).csv(p("c/assignments")).collect()}
+    assert {n: r["note"] for n, r in rows.items() if r["note"]} == {
+        "d": "filtered_bad_topology_among_rasa_passers", "x": "missing_pdb", "lone": "too_few_structures", "y": "missing_pdb_or_too_few_structures", "f": "too_few_structures_after_filtering",
+        "g": "filtered_bad_topology_among_rasa_passers", "z": "missing_pdb",
+    }
+    assert {n for n, r in rows.items() if r["cluster_id"]} == {"a", "b", "c", "e"} and {rows[n]["template_id"] for n in "abcdex"} == {"t"}
+    assert rows["x"]["cutoff"] == rows["d"]["cutoff"] == rows["a"]["cutoff"] and rows["z"]["cutoff"] is None and len(rows) == 11
