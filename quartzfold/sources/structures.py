@@ -45,6 +45,22 @@ def alpha_coordinates(atom_rows: DataFrame) -> DataFrame:
     return ca.select("variant_id", F.flatten(F.transform("a", lambda s: s["p"])).alias("coords"))
 
 
+def backbone(atom_rows: DataFrame) -> DataFrame:
+    """variant_id, coords (all CA), moved (N, CA, C of the residues that have all three), layout and lines (those of ``moved``).
+
+    Of the first model and chain, without hetero residues, in order of residues; of repeated atoms the one of the highest
+    occupancy. Where no residue has all three, ``moved`` is the CA alone, and ``layout`` says so.
+    """
+    mine = atom_rows.where("model_idx = 0 and chain_ord = 0 and hetflag = ' ' and atom_name in ('N', 'CA', 'C')")
+    occupancy = F.coalesce(F.trim(F.substring("line", 55, 6)).try_cast("double"), F.lit(0.0)).alias("occupancy")
+    one = mine.groupBy("variant_id", "resseq", "icode", "atom_name").agg(F.max(F.struct(occupancy, (-F.col("line_no")).alias("order"), "line_no", F.array("x", "y", "z").alias("at"))).alias("a"), F.min("line_no").alias("start"))
+    named = [F.max(F.when(F.col("atom_name") == n, F.struct("a.line_no", "a.at"))).alias(n) for n in ("N", "CA", "C")]
+    each = one.groupBy("variant_id", "resseq", "icode").agg(F.min("start").alias("start"), *named).where("CA is not null")
+    r = each.groupBy("variant_id").agg(F.array_sort(F.collect_list(F.struct("start", "N", "CA", "C"))).alias("r")).withColumn("whole", F.expr("filter(r, s -> s.N is not null and s.C is not null)"))
+    r = r.withColumn("all", F.expr("if(size(whole) > 0, flatten(transform(whole, s -> array(s.N, s.CA, s.C))), transform(r, s -> s.CA))"))
+    return r.selectExpr("variant_id", "flatten(transform(r, s -> s.CA.at)) coords", "flatten(transform(all, a -> a.at)) moved", "if(size(whole) > 0, 'N, CA, C', 'CA alone') layout", "transform(all, a -> a.line_no) lines")
+
+
 def residues(lines: DataFrame) -> DataFrame:
     """Residues of secondary-structure files in the classic fixed-width layout: variant_id, dssp_index, resseq, aa, ss, acc, rasa.
 

@@ -24,7 +24,7 @@ from quartzfold.session import cut, ship
 from quartzfold.sinks.files import with_skipped, write_csv, write_fasta, write_structures
 from quartzfold.sources.fasta import read_fasta
 from quartzfold.sources.lists import load_library_spec, read_csv, read_ids
-from quartzfold.sources.structures import alpha_coordinates, atoms, read_lines, read_vectors, residues
+from quartzfold.sources.structures import alpha_coordinates, atoms, backbone, read_lines, read_vectors, residues
 
 
 def library(spark: SparkSession, fasta: str, config: str, out: str, token: bool = False) -> None:
@@ -117,12 +117,26 @@ def cluster(
 
 
 def average(spark: SparkSession, structures: str, assignments: str, out: str) -> None:
-    """Mean CA coordinates of each cluster, and the manifest."""
+    """The mean N, CA and C of each cluster, superposed on CA, written into its reference member's lines, and the manifest."""
     rows = read_csv(spark, assignments, "template_id string, variant_id string, cluster_id int, is_medoid boolean, cutoff double, silhouette double, n_clusters int, note string", ["template_id", "variant_id", "cluster_id"])
-    members = rows.where("cluster_id is not null").join(_by_template(spark, structures).select(F.col("item").alias("variant_id"), "coords"), "variant_id", "left")
-    mean, manifest = average_clusters(members.select(F.col("template_id").alias("group_id"), "cluster_id", F.col("variant_id").alias("item"), "is_medoid", "coords"))
+    lines = read_lines(spark, structures)
+    parts = cut(backbone(atoms(lines)))
+    members = rows.where("cluster_id is not null").join(parts, "variant_id", "left")
+    mean, manifest = average_clusters(members.select(F.col("template_id").alias("group_id"), "cluster_id", F.col("variant_id").alias("item"), "is_medoid", "coords", "moved", "layout"))
+    mean, manifest = cut(mean), cut(manifest)
+    chosen = manifest.select("group_id", "cluster_id", F.col("reference").alias("variant_id"))
+    places = chosen.join(parts, "variant_id").select("group_id", "cluster_id", F.posexplode("lines").alias("atom", "line_no"))
+    moved = mean.join(places, ["group_id", "cluster_id", "atom"]).select("group_id", "cluster_id", "line_no", F.format_string("%8.3f%8.3f%8.3f", "x", "y", "z").alias("at"))
+    made = chosen.join(mean.select("group_id", "cluster_id").distinct(), ["group_id", "cluster_id"]).join(lines, "variant_id").join(moved, ["group_id", "cluster_id", "line_no"], "left")
+    named = F.concat("group_id", F.format_string("_cluster%03d_avg", "cluster_id"))
+    line = F.when(F.col("at").isNotNull(), F.concat(F.substring("line", 1, 30), "at", F.expr("substring(line, 55)"))).otherwise(F.col("line"))
+    write_structures(made.select(named.alias("variant_id"), "line_no", line.alias("line")), f"{out}/structures")
     write_csv(mean, f"{out}/mean")
-    write_csv(manifest, f"{out}/manifest")
+    note = F.when(F.col("reference").isNull(), "average_failed: no member has CA atoms").when(F.col("layout") == "CA alone", "no residue has N, CA and C: CA alone")
+    # folders of variants have special characters escaped, so their names come from what was written
+    written_to = spark.read.schema("value string, variant_id string").text(f"{out}/structures").select(F.col("variant_id").alias("named"), F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("out_pdb_path")).groupBy("named").agg(F.min("out_pdb_path").alias("out_pdb_path"))
+    manifest = manifest.join(parts.select(F.col("variant_id").alias("reference"), "layout"), "reference", "left").withColumns({"named": named, "note": note}).join(written_to, "named", "left")
+    write_csv(manifest.select("group_id", "cluster_id", "reference", "n_total", "n_used", "n_skipped", "out_pdb_path", "skipped", "note"), f"{out}/manifest")
 
 
 def pca(spark: SparkSession, vectors: str, out: str, k: int = 10, ids: str | None = None) -> None:

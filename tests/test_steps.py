@@ -65,3 +65,34 @@ def test_cluster_step_filters_and_names_the_rest(spark, tmp_path):
     }
     assert {n for n, r in rows.items() if r["cluster_id"]} == {"a", "b", "c", "e"} and {rows[n]["template_id"] for n in "abcdex"} == {"t"}
     assert rows["x"]["cutoff"] == rows["d"]["cutoff"] == rows["a"]["cutoff"] and rows["z"]["cutoff"] is None and len(rows) == 11
+
+
+def test_average_step_writes_backbones(spark, tmp_path):
+    draw = np.random.default_rng(5)
+    p = lambda x: str(tmp_path / x)
+    (tmp_path / "pdb").mkdir()
+    base = draw.normal(size=(5, 4, 3)) * 5
+    turn = np.array([[0, 1, 0], [-1, 0, 0], [0, 0, 1.0]])
+    row = "{:<6}{:>5}  {:<3} {:<3} {}{:>4}    {:>8.3f}{:>8.3f}{:>8.3f}  1.00 50.00"
+
+    def write(name, x):
+        lines = [row.format("ATOM", 4 * k + j + 1, a, "ALA", "A", k + 1, *x[k, j]) for k in range(5) for j, a in enumerate(("N", "CA", "C", "O")) if (k, a) != (4, "N")]
+        lines += [row.format("HETATM", 90, "CA", "CA", "A", 90, 1, 2, 3), row.format("ATOM", 91, "CA", "ALA", "B", 1, *draw.normal(size=3))]
+        (tmp_path / "pdb" / f"{name}.pdb").write_text("\n".join(lines) + "\nEND\n")
+
+    for name, shift in (("a", 0), ("b", 0.3), ("c", -0.3)):
+        x = base.copy()
+        x[:, 0, 2] += shift  # N off by as much up as down
+        write(name, x if name == "a" else x @ turn + 7)
+    (tmp_path / "s.csv").write_text("template_id,variant_id,cluster_id,is_medoid\nt|1,a,1,true\nt|1,b,1,false\nt|1,c,1,false\nt|1,gone,1,false\nt|1,none,2,true\n")
+    main(["average", "--structures", p("pdb"), "--assignments", p("s.csv"), "--out", p("o")])
+    m = {r["cluster_id"]: r for r in spark.read.option("header", True).csv(p("o/manifest")).collect()}
+    assert (m["1"]["reference"], m["1"]["n_used"], m["1"]["skipped"], m["1"]["note"]) == ("a", "3", "gone", None)
+    assert m["2"]["note"].startswith("average_failed") and m["2"]["out_pdb_path"] is None and m["2"]["n_used"] == "0"
+    got = open(m["1"]["out_pdb_path"].removeprefix("file:").replace("///", "/")).read().splitlines()
+    wanted = (tmp_path / "pdb" / "a.pdb").read_text().splitlines()
+    assert len(got) == len(wanted)
+    xyz = lambda s: np.array([float(s[i : i + 8]) for i in (30, 38, 46)])
+    for g, w in zip(got, wanted, strict=True):
+        assert g[:30] == w[:30] and g[54:] == w[54:] and (g == w or np.allclose(xyz(g), xyz(w), atol=0.003))
+    assert len(spark.read.option("header", True).csv(p("o/mean")).collect()) == 12
