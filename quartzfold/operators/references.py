@@ -31,7 +31,7 @@ def missing_references(children: DataFrame, parents: DataFrame) -> DataFrame:
     )
     asked = children.where("key is not null and at is not null").select("parent_table", "key", "at", F.lit(0).alias("step"), "table_name", F.col("row_id").cast("long").alias("row_id"))
     events = step("start_at", 1).unionByName(step("end_at", -1).where("at is not null")).unionByName(asked).withColumn("hour", hour(F.col("at")))
-    by_hour = events.groupBy("parent_table", "key", "hour").agg(F.sum("step").alias("change"), F.count("row_id").alias("asked"), F.count_if(F.col("step") != 0).alias("changes"))
+    by_hour = events.groupBy("parent_table", "key", "hour").agg(F.sum("step").alias("change"), F.count_if(F.col("step") == 0).alias("asked"), F.count_if(F.col("step") != 0).alias("changes"))
     earlier = Window.partitionBy("parent_table", "key").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     carried = by_hour.withColumn("live", F.coalesce(F.sum("change").over(earlier), F.lit(0))).where("asked > 0").select("parent_table", "key", "hour", "live", "changes")
     # an hour in which nothing of the key changes, and a parent is live as it begins, holds no missing reference

@@ -30,6 +30,11 @@ def test_empty_tables(spark):
     assert missing_references(spark.createDataFrame([("c", "t", "k", datetime(2024, 1, 1), 1, "")], C), none).count() == 1
 
 
+def test_a_child_without_row_id_counts(spark):
+    children = spark.createDataFrame([("c", "t", "k", datetime(2024, 1, 1), None, "")], C)
+    assert missing_references(children, spark.createDataFrame([], P)).count() == 1
+
+
 def test_same_path(spark):
     cases = {"a/b": "a/b", "./a//b": "a/b", "././a/./b": "a/b", "a/././/b": "a/b", "a/.b": "a/.b", "a/b.": "a/b.", "a/..//b": "a/../b", "A/b ": "A/b ", "": ""}
     rows = spark.createDataFrame(list(cases.items()), "path string, wanted string").select("wanted", same_path(F.col("path")).alias("got")).collect()
