@@ -57,7 +57,7 @@ OUT = {
     "variant_id": "string", "pdb_path": "string", "out_pdb_path": "string", "status": "string", "reason": "string",
     "status_code": "long", "attempts": "long", "elapsed_seconds": "double",
 }
-_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+LARGEST = str(2**63 - 1)
 
 
 def _bare(line: str) -> str:
@@ -65,15 +65,25 @@ def _bare(line: str) -> str:
     return ",".join(f.strip(" ") if '"' in f else f for f in re.findall(rf"(?:^|,)({FIELD})", line))
 
 
+def _text(places: np.ndarray, lines: pa.Array) -> pa.Buffer:
+    """The records as one CSV text, each with its place before it."""
+    each = pc.binary_join_element_wise(pa.array(places).cast(pa.string()), lines, ",")
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(each)], pa.int32()), each), "\n")[0].as_buffer()
+
+
 def _cells(lines: pa.Array, at: np.ndarray, cells: tuple[Cell, ...], reason: np.ndarray, failing: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
     """Parse the records ``lines`` found at places ``at``; note reasons and failing cells there, return places and columns."""
     lines = pc.replace_substring_regex(lines, r"\r$", "")
-    whole = pc.fill_null(pc.match_substring_regex(lines, RECORD), False).to_numpy(zero_copy_only=False)
-    null = lines.is_null().to_numpy(zero_copy_only=False)
+    whole = pc.fill_null(pc.match_substring_regex(lines, RECORD), False)
+    is_whole, null = whole.to_numpy(zero_copy_only=False), lines.is_null().to_numpy(zero_copy_only=False)
     reason[at[null]] = "null line"
-    reason[at[~null & ~whole]] = "broken quoting"
-    texts, places = lines.filter(pa.array(whole)).to_pylist(), at[whole]
-    texts = [_bare(t) if ' "' in t or '" ' in t else t for t in texts]
+    reason[at[~null & ~is_whole]] = "broken quoting"
+    texts, places = lines.filter(whole), at[is_whole]
+    if not len(texts):
+        return places, [pa.array([], pa.string()) for _ in cells]
+    blanks = pc.or_(pc.match_substring(texts, ' "'), pc.match_substring(texts, '" '))
+    if pc.any(blanks).as_py():
+        texts = pc.replace_with_mask(texts, blanks, pa.array([_bare(t) for t in texts.filter(blanks).to_pylist()], pa.string()))
 
     def wrong(row) -> str:
         k = int(row.text.partition(",")[0])
@@ -81,18 +91,15 @@ def _cells(lines: pa.Array, at: np.ndarray, cells: tuple[Cell, ...], reason: np.
         return "skip"
 
     names = ["_at", *(c.name for c in cells)]
-    if not texts:
-        return places, [pa.array([], pa.string()) for _ in cells]
     # each record starts with its place, so that a reported or parsed record is known whatever was skipped before it
-    raw = "".join(f"{k},{t}\n" for k, t in zip(places.tolist(), texts, strict=True)).encode()
-    first = ",".join(names).encode() + b"\n"  # a header is never rejected, so the reader never meets an empty file
+    raw = ",".join(names).encode() + b"\n" + _text(places, texts).to_pybytes()  # a header is never rejected, so the reader never meets an empty file
     got = csv.read_csv(
-        pa.BufferReader(first + raw),
-        csv.ReadOptions(use_threads=False, block_size=len(first) + len(raw) + 1),
+        pa.BufferReader(raw),
+        csv.ReadOptions(use_threads=False, block_size=len(raw) + 1),
         csv.ParseOptions(newlines_in_values=True, invalid_row_handler=wrong, ignore_empty_lines=False),
-        csv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False),
+        csv.ConvertOptions(column_types={**dict.fromkeys(names, pa.string()), "_at": pa.int64()}, strings_can_be_null=False),
     )
-    places = np.array(got["_at"].to_pylist(), dtype=np.int64)
+    places = got["_at"].combine_chunks().to_numpy()
     columns = {c.name: pc.utf8_trim(got[c.name].combine_chunks(), " ") for c in cells}
     for c in cells:
         v = columns[c.name]
@@ -105,7 +112,7 @@ def _cells(lines: pa.Array, at: np.ndarray, cells: tuple[Cell, ...], reason: np.
         if c.clean:
             tests.append(("holds a damaged character", pc.match_substring_regex(v, CONTROL).to_numpy(zero_copy_only=False)))
         for what, bad in tests:
-            for k in places[bad]:
+            for k in places[bad]:  # failing cells only
                 reason[k] = reason[k] or f"{c.name} {what}"
                 failing[k] = [*(failing[k] or []), c.name]
     return places, list(columns.values())
@@ -113,10 +120,16 @@ def _cells(lines: pa.Array, at: np.ndarray, cells: tuple[Cell, ...], reason: np.
 
 def _cast(v: pa.Array, kind: str) -> pa.Array:
     """The vector as its type; an empty or unusable cell, or a number beyond the type, as null."""
+    none = pa.scalar(None, pa.string())
     if kind == "string":
         return v
-    ok = pc.match_substring_regex(v, r"^[0-9]{1,18}$" if kind == "long" else r"^[0-9]+(?:\.[0-9]+)?(?:e[+-]?[0-9]+)?$")
-    return pc.cast(pc.if_else(ok, v, pa.scalar(None, pa.string())), _ARROW[kind])
+    if kind == "double":
+        return pc.cast(pc.if_else(pc.match_substring_regex(v, r"^[0-9]+(?:\.[0-9]+)?(?:e[+-]?[0-9]+)?$"), v, none), pa.float64())
+    digits = pc.if_else(pc.match_substring_regex(v, "^[0-9]+$"), pc.utf8_ltrim(v, "0"), none)
+    size = pc.utf8_length(digits)
+    fits = pc.or_(pc.less(size, len(LARGEST)), pc.and_(pc.equal(size, len(LARGEST)), pc.less_equal(digits, LARGEST)))
+    digits = pc.if_else(fits, digits, none)
+    return pc.cast(pc.if_else(pc.equal(digits, ""), "0", digits), pa.int64())
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,20 +137,24 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         reason, failing = np.full(n, None, object), np.full(n, None, object)
         names, lines = batch.column(1), batch.column(2)
-        out = {c: np.full(n, None, object) for c in OUT}
-        known = np.zeros(n, bool)
+        out: dict[str, list[pa.Array]] = {c: [] for c in OUT}
+        known, found = np.zeros(n, bool), []
         for report, cells in REPORTS.items():
             mine = pc.fill_null(pc.equal(names, report), False).to_numpy(zero_copy_only=False)
             known |= mine
-            places, columns = _cells(lines.filter(pa.array(mine)), np.flatnonzero(mine), cells, reason, failing)
-            for c, v in zip(cells, columns, strict=True):
-                if len(places) and len(v):
-                    out[c.name][places] = np.array(_cast(v, c.type).to_pylist(), object)
+            found.append((cells, *_cells(lines.filter(pa.array(mine)), np.flatnonzero(mine), cells, reason, failing)))
         reason[~known] = "unknown report"
-        bad = np.array([r is not None for r in reason], bool)
-        typed = [pa.array([None if b else x for x, b in zip(out[c], bad, strict=True)], _ARROW[t]) for c, t in OUT.items()]
+        reasons = pa.array(reason, pa.string())
+        bad = reasons.is_valid().to_numpy(zero_copy_only=False)
+        for cells, places, columns in found:
+            at = np.full(n, -1)
+            at[places[: len(columns[0])]] = np.arange(len(columns[0]))
+            at = pa.array(at, mask=(at < 0) | bad)
+            for c, v in zip(cells, columns, strict=True):
+                out[c.name].append(_cast(v, c.type).take(at))
+        typed = [pc.coalesce(*out[c]) for c in OUT]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), names, pa.array(reason, pa.string()), pa.array(failing, pa.list_(pa.string())), *typed],
+            [batch.column(0), names, reasons, pa.array(failing, pa.list_(pa.string())), *typed],
             ["line_id", "report_name", "reject_reason", "failing_cells", *OUT],
         )
 
@@ -147,8 +164,8 @@ def parse_reports(lines: DataFrame) -> DataFrame:
 
     Every line comes out once: valid ones typed with ``reject_reason`` null, all others with null fields, the reason of
     the first failure and, if cells failed, their names in ``failing_cells``. Null lines, null or unknown reports, wrong
-    field counts and broken quoting are reasons; empty text is a record of one empty field. A number too long for its
-    type is valid and null. Repeated lines are kept. No shuffle: each batch is parsed where it is read.
+    field counts and broken quoting are reasons; empty text is a record of one empty field. A number beyond its type
+    (a bigint) is valid and null; leading zeros don't count. Repeated lines are kept. No shuffle: each batch is parsed where it is read.
     """
     fields = ", ".join(f"{c} {t}" for c, t in OUT.items())
     schema = f"line_id bigint, report_name string, reject_reason string, failing_cells array<string>, {fields}"

@@ -102,9 +102,11 @@ SELECT substr('abcdefg', (pos % 7)::INT + 1, 1) AS heptad, token FROM (SELECT un
     "motif_cover": f"SELECT row_id, len({_HITS})::INT AS n_covered, (length(token_pattern) - len({_HITS}))::INT AS n_left FROM variants",
     "variant_names": "SELECT row_id, template_id || '_var' || CASE WHEN variant_index < 10000 THEN lpad(variant_index::VARCHAR, 4, '0') ELSE variant_index::VARCHAR END AS built_id, split_part(variant_id, '_var', 1) AS group_id FROM variants",
     "helix_windows": rf"""WITH t AS (SELECT DISTINCT template_id FROM variants),
-x AS (SELECT template_id, regexp_extract(template_id, '(?:^|\|)helices\|(\d+(?:,\d+){{3}})(?:\||$)', 1) AS h, regexp_extract(template_id, '(?:^|\|)loops\|(\d+(?:,\d+){{2}})(?:\||$)', 1) AS l, regexp_extract(template_id, '_len_(\d+)(?:\||$)', 1) AS n FROM t),
-y AS (SELECT *, CASE WHEN h <> '' THEN list_transform(string_split(h, ','), lambda v: v::INT) END AS hs, CASE WHEN l <> '' THEN list_transform(string_split(l, ','), lambda v: v::INT) END AS ls FROM x),
-z AS (SELECT *, CASE WHEN h = '' THEN 'no helix lengths' WHEN l = '' THEN 'no loop lengths' WHEN list_min(hs) <= 0 THEN 'helix lengths must be positive' WHEN n <> '' AND n::INT <> list_sum(hs) + list_sum(ls) THEN 'stated length is not the sum' END AS reason,
+x AS (SELECT template_id, string_split(template_id, '|') AS f FROM t),
+w AS (SELECT template_id, string_split(f[nullif(list_position(f, 'helices'), 0) + 1], ',') AS h, string_split(f[nullif(list_position(f, 'loops'), 0) + 1], ',') AS l,
+  list_filter(list_transform(f, lambda v: CASE WHEN contains(v, '_len_') THEN TRY_CAST(string_split(v, '_len_')[-1] AS INT) END), lambda v: v IS NOT NULL)[1] AS n FROM x),
+y AS (SELECT template_id, n, CASE WHEN len(h) = 4 THEN list_transform(h, lambda v: TRY_CAST(v AS INT)) END AS hs, CASE WHEN len(l) = 3 THEN list_transform(l, lambda v: TRY_CAST(v AS INT)) END AS ls FROM w),
+z AS (SELECT *, CASE WHEN hs IS NULL OR len(list_filter(hs, lambda v: v IS NULL)) > 0 THEN 'no helix lengths' WHEN ls IS NULL OR len(list_filter(ls, lambda v: v IS NULL)) > 0 THEN 'no loop lengths' WHEN list_min(hs) <= 0 THEN 'helix lengths must be positive' WHEN n <> list_sum(hs) + list_sum(ls) THEN 'stated length is not the sum' END AS reason,
   [1, 1 + hs[1] + ls[1], 1 + hs[1] + ls[1] + hs[2] + ls[2], 1 + hs[1] + ls[1] + hs[2] + ls[2] + hs[3] + ls[3]] AS st FROM y)
 SELECT template_id, CASE WHEN reason IS NULL THEN {_RANGES('8')} END AS central, CASE WHEN reason IS NULL THEN {_RANGES('hs[i]')} END AS whole, reason FROM z""",
     "fasta_records": r"SELECT row_id, '>' || variant_id || ' template=' || template_id || chr(10) || rtrim(regexp_replace(token_pattern, '(.{80})', '\1' || chr(10), 'g'), chr(10)) AS record FROM variants",

@@ -88,8 +88,7 @@ good AS (
 """
 _P1_VALID = """
 SELECT line_id, 'prediction_report' AS report_name, variant_id, NULL AS pdb_path, path AS out_pdb_path, status, reason,
-  CASE WHEN regexp_matches(code, '^[0-9]{1,18}$') THEN code::BIGINT END AS status_code,
-  CASE WHEN regexp_matches(attempts, '^[0-9]{1,18}$') THEN attempts::BIGINT END AS attempts, elapsed::DOUBLE AS elapsed_seconds
+  TRY_CAST(code AS BIGINT) AS status_code, TRY_CAST(attempts AS BIGINT) AS attempts, elapsed::DOUBLE AS elapsed_seconds
 FROM pv WHERE line_id IN (SELECT line_id FROM good)
 UNION ALL
 SELECT line_id, 'skipped_structures', variant_id, path, NULL, NULL, reason, NULL, NULL, NULL FROM sv WHERE line_id IN (SELECT line_id FROM good)"""

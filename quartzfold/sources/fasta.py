@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzfold.functions.sequences import token_reason
+from quartzfold.sources.lines import numbered_pieces
 
 
 def read_fasta(spark: SparkSession, path: str, keep_case: bool = False) -> DataFrame:
@@ -13,19 +14,19 @@ def read_fasta(spark: SparkSession, path: str, keep_case: bool = False) -> DataF
 
     Lines are trimmed and blank ones skipped; text before the first header is dropped; the id is the first word of a
     header, which may be null for a bare ``>``; a header without lines has an empty sequence. Blanks within a sequence
-    go, and it is upper-cased unless ``keep_case``. A file is one unit of work.
+    go, and it is upper-cased unless ``keep_case``. A file is read by as many tasks as it has splits.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line_no", "line")).withColumn("line", F.trim(F.regexp_replace("line", "\t", " "))).where("line <> ''")
-    head = F.col("line").startswith(">")
-    numbered = lines.withColumn("rec_no", F.sum(head.cast("int")).over(Window.partitionBy("file").orderBy("line_no"))).where("rec_no > 0")
-    part = F.when(~head, F.struct("line_no", F.replace("line", F.lit(" "), F.lit("")).alias("text")))
-    records = numbered.groupBy("file", "rec_no").agg(
-        F.max(F.when(head, F.substring("line", 2, 1_000_000))).alias("header"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "").alias("seq"),
-    )
-    words = F.regexp_extract(F.trim("header"), r"^(\S+)\s*(.*)$", 1), F.regexp_extract(F.trim("header"), r"^(\S+)\s*(.*)$", 2)
-    return records.select("file", "rec_no", F.when(words[0] != "", words[0]).alias("id"), words[1].alias("description"), ("seq" if keep_case else F.upper("seq").alias("seq")))
+    pieces = numbered_pieces(spark, path, "\n>", r"[\r\n][ \t]*>")
+    # only the first piece of a file still has its own mark, or is text before the first header
+    first, marked = F.col("at") == 0, F.ltrim(F.translate("piece", "\r\n\t", "   ")).startswith(">")
+    before = pieces.where(first).select("file", (~marked).cast("long").alias("_before"))
+    records = pieces.where(~first | marked).join(before, "file").select(
+        "file", (F.col("at") + 1 - F.col("_before")).alias("rec_no"), F.when(first, F.regexp_replace("piece", r"^\s*>", "")).otherwise(F.col("piece")).alias("piece")
+    )
+    head = F.regexp_extract("piece", r"^[^\r\n]*", 0)
+    name, rest = (F.regexp_extract(F.trim(F.translate(head, "\t", " ")), r"^(\S*)\s*(.*)$", i) for i in (1, 2))
+    seq = F.translate(F.expr("substring(piece, length(regexp_extract(piece, '^[^\\\\r\\\\n]*', 0)) + 1)"), " \t\r\n", "")
+    return records.select("file", "rec_no", F.when(name != "", name).alias("id"), rest.alias("description"), (seq if keep_case else F.upper(seq)).alias("seq"))
 
 
 def read_token_fasta(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quartzfold.operators.library import LibrarySpec
+from quartzfold.sources.lines import numbered_pieces
 
 
 def load_library_spec(path: str) -> LibrarySpec:
@@ -23,8 +24,7 @@ def load_library_spec(path: str) -> LibrarySpec:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 0, in file order), id: one per line, trimmed, without blank lines and ``#`` comments; repeated ids are kept."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "id")).withColumn("id", F.trim("id"))
+    lines = numbered_pieces(spark, path, "\n", "(?!)").select(F.col("at").alias("line_no"), F.trim(F.translate("piece", "\r\t", " ")).alias("id"))
     return lines.where((F.col("id") != "") & ~F.col("id").startswith("#"))
 
 

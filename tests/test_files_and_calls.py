@@ -31,6 +31,23 @@ def test_fasta(spark, tmp_path):
     assert [r["id"] for r in both] == ["id1", "*bad"] and both[1]["description"] == "skipped_reason=why"
 
 
+def test_fasta_in_many_splits(spark, tmp_path):
+    text = "; text before\r\n" + "".join(f" >id{i}\td {i}\r\nac d\r\n\r\nEF{'g' * (i % 50)}\n" for i in range(600)) + ">\n>last"
+    (tmp_path / "b.fa").write_bytes(text.encode())
+    (tmp_path / "c.fa").write_text(">only\nA\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        df = read_fasta(spark, str(tmp_path / "*.fa"))
+        rows = [tuple(r)[1:] for r in df.where("file like '%b.fa'").orderBy("rec_no").collect()]
+        assert rows == [(i + 1, f"id{i}", f"d {i}", "ACDEF" + "G" * (i % 50)) for i in range(600)] + [(601, None, "", ""), (602, "last", "", "")]
+        assert [tuple(r)[1:] for r in df.where("file like '%c.fa'").collect()] == [(1, "only", "", "A")]
+        (tmp_path / "ids").write_text("# n\n" + "".join(f" v{i} \r\n\n" for i in range(900)))
+        assert [(r["line_no"], r["id"]) for r in read_ids(spark, str(tmp_path / "ids")).orderBy("line_no").collect()] == [(1 + 2 * i, f"v{i}") for i in range(900)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_lists_and_tables(spark, tmp_path):
     (tmp_path / "ids").write_text("b\n# no\n\n a \nb\n")
     assert [r["id"] for r in read_ids(spark, str(tmp_path / "ids")).orderBy("line_no").collect()] == ["b", "a", "b"]

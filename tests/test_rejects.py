@@ -64,6 +64,8 @@ def test_typed_values_and_reasons(spark):
         [
             (1, "prediction_report", 'v,"p ""q""",failed,"two\nlines, here",429,7, 1.5e1 \r', None),
             (2, "prediction_report", "v,p,ok,,,99999999999999999999,1", None),
+            (6, "prediction_report", "v,p,ok,,9223372036854775807,000000000000000000000000012,1", None),
+            (7, "prediction_report", "v,p,ok,,9223372036854775808,0,1", None),
             (3, "prediction_report", "v,p,failed, ,,x,1", None),
             (4, "skipped_structures", "v,p", None),
             (5, "skipped_structures", 'v,p,"open', None),
@@ -73,6 +75,7 @@ def test_typed_values_and_reasons(spark):
     rows = {r["line_id"]: r for r in parse_reports(df).collect()}
     assert (rows[1]["out_pdb_path"], rows[1]["reason"], rows[1]["status_code"], rows[1]["elapsed_seconds"]) == ('p "q"', "two\nlines, here", 429, 15.0)
     assert rows[2]["reject_reason"] is None and rows[2]["attempts"] is None
+    assert (rows[6]["status_code"], rows[6]["attempts"]) == (2**63 - 1, 12) and (rows[7]["status_code"], rows[7]["attempts"]) == (None, 0)
     assert rows[3]["failing_cells"] == ["reason", "attempts"] and rows[3]["reject_reason"] == "reason is empty" and rows[3]["variant_id"] is None
     assert rows[4]["reject_reason"] == "2 fields instead of 3" and rows[5]["reject_reason"] == "broken quoting"
 
