@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,16 +59,32 @@ def pool(spelling: Column) -> Column:
     return F.array_distinct(letters(F.regexp_replace(F.upper(spelling), "[^A-Z]", "")))
 
 
-def choice(n: Column, *key: Column) -> Column:
-    """A number from 0 to n - 1 by the MD5 of the key's parts: the same in any engine, whatever the order of rows."""
-    digest = F.md5(F.concat_ws("|", *[k.cast("string") for k in key]))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), n)
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once a row, also where ``f`` uses it for each element of an array."""
+    return F.transform(F.array(value), f)[0]
+
+
+DRAWS = 8  # numbers of four hexadecimal digits that one MD5 gives
+
+
+def digests(n: Column, *key: Column) -> Column:
+    """Hexadecimal digits for ``n`` draws: the MD5 of the key's parts and of the number of each block of eight draws, the same in any engine, whatever the order of rows."""
+    text = F.concat_ws("|", *[k.cast("string") for k in key])
+    blocks = F.sequence(F.lit(0), F.greatest(F.ceil(n / DRAWS).cast("int") - 1, F.lit(0)))
+    return once(text, lambda k: F.array_join(F.transform(blocks, lambda b: F.md5(F.concat_ws("|", k, b.cast("string")))), ""))
+
+
+def drawn(digits: Column, i: Column, n: Column) -> Column:
+    """The ``i``-th draw (from 0): a number from 0 to n - 1."""
+    return F.pmod(F.conv(digits.substr(4 * i + 1, F.lit(4)), 16, 10).cast("int"), n)
 
 
 def instantiate(pattern: Column, hydrophobic: Column, polar: Column, *key: Column) -> Column:
     """A sequence for a token pattern: H and P become a residue of their pool, chosen by key and position; p, c, g stay fixed."""
-    pick = lambda p, i: F.element_at(p, (choice(F.size(p).cast("bigint"), *key, i) + 1).cast("int"))
-    return F.array_join(F.transform(letters(pattern), lambda t, i: F.when(t == "H", pick(hydrophobic, i)).when(t == "P", pick(polar, i)).otherwise(F.upper(t))), "")
+    given = F.struct(digests(F.length(pattern), *key).alias("d"), hydrophobic.alias("h"), polar.alias("p"))
+    pick = lambda g, p, i: F.element_at(g[p], drawn(g["d"], i, F.size(g[p])) + 1)
+    made = lambda g: F.transform(letters(pattern), lambda t, i: F.when(t == "H", pick(g, "h", i)).when(t == "P", pick(g, "p", i)).otherwise(F.upper(t)))
+    return once(given, lambda g: F.array_join(made(g), ""))
 
 
 def recovery(natural: Column, variant: Column) -> Column:

@@ -75,8 +75,8 @@ def last_of(df: DataFrame, key: str, order: str) -> DataFrame:
 def generate(valid: DataFrame, spec: LibrarySpec) -> DataFrame:
     """``spec.variants`` variants per valid template, with their metadata; no shuffle.
 
-    Each residue is chosen by the MD5 of seed, template, variant and position, so any part of a library can be made
-    anywhere, again and again, with the same result.
+    Each residue is chosen by the MD5 of seed, template, variant and place, so any part of a library can be made anywhere,
+    again and again, with the same result.
     """
     letters = lambda p: F.array(*map(F.lit, p))
     each = valid.where("reason is null").withColumn("variant_index", F.explode(F.sequence(F.lit(0), F.lit(spec.variants - 1))))

@@ -7,10 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+FAN = 32  # matrices added at once
+
+
 @dataclass(frozen=True)
 class PCAModel:
     """Mean (d), components (k, d), share of variance and singular value of each component, and the vectors used."""
@@ -25,31 +29,35 @@ class PCAModel:
 def fit_pca(vectors: DataFrame, vector: str, k: int) -> PCAModel:
     """The first ``k`` components of a column of equally long arrays; rows with null or non-finite values are left out.
 
-    Each task sums its vectors and their products; rows of the product matrix are added up by row number, so the driver
-    gets one d x d matrix, however many rows and tasks there are. The entry of a component with the largest absolute
-    value is positive.
+    Each task sums its vectors and their products, less one vector, so that a large mean costs no digits. Rows of the
+    product matrices are added up by row number, first of ``FAN`` tasks each, then all; there are at most as many tasks
+    as cores, so what is shuffled is bounded however many rows and files there are. The driver gets one d x d matrix.
+    The entry of a component with the largest absolute value is positive.
     """
     ok = vectors.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+    one = ok.first()
+    if one is None:
+        raise ValueError("no usable vectors")
+    shift = np.array(one["v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, task = None, TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - shift
             x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
             total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), task // FAN, np.int32)), pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["lot", "i", "row"])
 
     def add(part: pa.Table) -> pa.Table:
         rows = np.stack(part["row"].to_numpy()).sum(axis=0)
-        return pa.table({"i": part["i"].slice(0, 1), "row": pa.array([rows], pa.list_(pa.float64()))})
+        return pa.table({"lot": part["lot"].slice(0, 1), "i": part["i"].slice(0, 1), "row": pa.array([rows], pa.list_(pa.float64()))})
 
-    schema = "i int, row array<double>"
-    rows = ok.mapInArrow(run, schema).groupBy("i").applyInArrow(add, schema).orderBy("i").collect()
-    if not rows:
-        raise ValueError("no usable vectors")
+    schema = "lot int, i int, row array<double>"
+    sums = ok.coalesce(max(FAN, ok.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, schema)
+    rows = sums.groupBy("lot", "i").applyInArrow(add, schema).groupBy("i").applyInArrow(add, schema).orderBy("i").collect()
     m = np.array([r["row"] for r in rows])
     n, mean = m[0, 0], m[0, 1:] / m[0, 0]
     if k > len(mean):
@@ -58,7 +66,7 @@ def fit_pca(vectors: DataFrame, vector: str, k: int) -> PCAModel:
     order = np.argsort(-values)
     values, axes = np.maximum(values[order], 0), axes[:, order].T
     axes *= np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
-    return PCAModel(mean, axes[:k], values[:k] / max(values.sum(), 1e-300), np.sqrt(values[:k]), int(n))
+    return PCAModel(mean + shift, axes[:k], values[:k] / max(values.sum(), 1e-300), np.sqrt(values[:k]), int(n))
 
 
 def project(vectors: DataFrame, vector: str, model: PCAModel) -> DataFrame:

@@ -19,27 +19,32 @@ def missing_references(children: DataFrame, parents: DataFrame) -> DataFrame:
     or an end not after their start, are never live. Children with a null key refer to nothing and are left out; those
     with a null ``at`` refer to a record that can't be found and come out. Repeated rows are kept.
 
-    Parents (+1 at their start, -1 at their end) and children (0) are united in long form. They are first summed by
-    parent table, key and hour, on the map side too; the running sum over a key's hours says how many parents are live
-    as an hour begins. Groups without a child end there. Within an hour of a key a running sum finds the children at
-    which no parent is live. So a key with a third of all rows is spread over its hours, and no group is collected.
+    Parents (+1 at their start, -1 at their end) and children (0) are united in long form and summed by parent table, key
+    and hour, on the map side too; the running sum over a key's hours says how many parents are live as an hour begins.
+    Of the hours with a child, those become spans in which no parent is live: the whole hour where nothing changes, else
+    what lies between the hour's changes. Children within a span are missing. So a key with a third of all rows is
+    spread over its hours, children are never sorted or collected by key, and a hot hour is a join with few spans, which
+    adaptive execution splits.
     """
     hour = lambda c: F.unix_date(F.to_date(c)) * 24 + F.hour(c)
+    group = ["parent_table", "key", "hour"]
     alive = parents.where("key is not null and start_at is not null and (end_at is null or end_at > start_at)")
-    step = lambda at, by: alive.select(
-        "parent_table", "key", F.col(at).alias("at"), F.lit(by).alias("step"), F.lit(None).cast("string").alias("table_name"), F.lit(None).cast("long").alias("row_id")
-    )
-    asked = children.where("key is not null and at is not null").select("parent_table", "key", "at", F.lit(0).alias("step"), "table_name", F.col("row_id").cast("long").alias("row_id"))
-    events = step("start_at", 1).unionByName(step("end_at", -1).where("at is not null")).unionByName(asked).withColumn("hour", hour(F.col("at")))
-    by_hour = events.groupBy("parent_table", "key", "hour").agg(F.sum("step").alias("change"), F.count_if(F.col("step") == 0).alias("asked"), F.count_if(F.col("step") != 0).alias("changes"))
+    step = lambda at, by: alive.where(F.col(at).isNotNull()).select("parent_table", "key", F.col(at).alias("at"), F.lit(by).alias("step"))
+    changes = step("start_at", 1).unionByName(step("end_at", -1)).withColumn("hour", hour(F.col("at"))).groupBy(*group, "at").agg(F.sum("step").alias("step"))
+    asked = children.where("key is not null and at is not null").withColumn("hour", hour(F.col("at")))
+    events = changes.select(*group, "at", "step").unionByName(asked.select(*group, F.lit(None).cast("timestamp").alias("at"), F.lit(0).cast("long").alias("step")))
+    by_hour = events.groupBy(group).agg(F.sum("step").alias("change"), F.min("at").alias("first"), F.count_if(F.col("at").isNull()).alias("asked"))
     earlier = Window.partitionBy("parent_table", "key").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    carried = by_hour.withColumn("live", F.coalesce(F.sum("change").over(earlier), F.lit(0))).where("asked > 0").select("parent_table", "key", "hour", "live", "changes")
-    # an hour in which nothing of the key changes, and a parent is live as it begins, holds no missing reference
-    open_hours = carried.where("live <= 0 or changes > 0").drop("changes")
-    within = Window.partitionBy("parent_table", "key", "hour").orderBy("at", F.col("step") == 0).rowsBetween(Window.unboundedPreceding, 0)
-    timed = events.join(open_hours, ["parent_table", "key", "hour"]).withColumn("live", F.col("live") + F.sum("step").over(within)).where("step = 0 and live <= 0")
+    carried = by_hour.withColumn("live", F.coalesce(F.sum("change").over(earlier), F.lit(0))).where("asked > 0 and (live <= 0 or first is not null)").select(*group, "first", "live")
+    # from when to when no parent is live in an hour, null for its ends
+    begin = carried.where("live <= 0").select(*group, F.lit(None).cast("timestamp").alias("since"), F.col("first").alias("until"))
+    within = Window.partitionBy(group).orderBy("at")
+    after = changes.join(carried.where("first is not null").select(*group, "live"), group)
+    after = after.withColumns({"live": F.col("live") + F.sum("step").over(within.rowsBetween(Window.unboundedPreceding, 0)), "until": F.lead("at").over(within)})
+    spans = begin.unionByName(after.where("live <= 0").select(*group, F.col("at").alias("since"), "until"))
     columns = ["table_name", "parent_table", "key", "at", "row_id"]
-    return timed.select(columns).unionByName(children.where("key is not null and at is null").select(columns))
+    found = asked.join(spans, group).where("(since is null or at >= since) and (until is null or at < until)").select(columns)
+    return found.unionByName(children.where("key is not null and at is null").select(columns))
 
 
 def missing_by_period(missing: DataFrame) -> DataFrame:

@@ -43,18 +43,26 @@ def per_cluster(assigned: DataFrame, k: int, seed: int | None = None) -> DataFra
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("template_id", "cluster_id").orderBy(*order))).where(F.col("place") <= k)
 
 
-def running_total(df: DataFrame, order: str, value: str, total: str = "total_before") -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows before each in a unique order; null values count as 0.
+def running_total(df: DataFrame, order: str | list[str], value: str, total: str = "total_before", group: list[str] | None = None) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before each, of its ``group`` if given, in a unique order; null values count as 0.
 
-    Rows are range-partitioned; each task sums its own, and adds the totals of the tasks before it, one row per task.
+    Rows are range-partitioned on group and order; each task sums its own, and adds the totals of the tasks before it:
+    one row per task, or per task and group that spans tasks. Null groups form one group.
     """
-    placed = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    group, order = group or [], [order] if isinstance(order, str) else order
+    placed = cut(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
     v = F.coalesce(F.col(value), F.lit(0))
-    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    tasks = placed.groupBy("_part").agg(F.sum(v).alias("_sum"))
-    earlier = tasks.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
-    summed = placed.withColumn("_within", F.coalesce(F.sum(v).over(within), F.lit(0))).join(F.broadcast(earlier), "_part")
-    return summed.withColumn(total, F.col("_within") + F.col("_earlier")).select(*df.columns, total)
+    within = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_part", *group).agg(F.sum(v).alias("_sum"))
+    if group:
+        sums = sums.withColumn("_tasks", F.count(F.lit(1)).over(Window.partitionBy(*group))).where("_tasks > 1")
+    upto = Window.partitionBy(*[F.col(g) for g in group]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sums.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group)], F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_earlier"))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{i}"))
+    summed = placed.withColumn("_within", F.coalesce(F.sum(v).over(within), F.lit(0))).join(F.broadcast(earlier), same, "left")
+    return summed.withColumn(total, F.col("_within") + F.coalesce("_earlier", F.lit(0))).select(*df.columns, total)
 
 
 def capped(df: DataFrame, order: str, value: str, most: int) -> DataFrame:

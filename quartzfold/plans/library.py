@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzfold.constants import HYDROPATHY, HYDROPHOBIC, POLAR
+from quartzfold.constants import EXTENDED, HYDROPATHY, HYDROPHOBIC, POLAR
 from quartzfold.functions.helices import template_lengths, topology_ranges, written
 from quartzfold.functions.sequences import (
-    default_group, heptad_position, heptad_role, hydropathy, instantiate, letters, masked_length, motif_positions, natural_reason, pool, recovery, token_reason, tokens, variant_id,
+    default_group, heptad_position, heptad_role, instantiate, letters, masked_length, motif_positions, natural_reason, pool, recovery, token_reason, tokens, variant_id,
 )
 from quartzfold.session import table
 from quartzfold.sinks.files import fasta_text
@@ -43,11 +43,18 @@ def seq_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _made(spark, sf_dir, 42).select("template_id", F.explode(F.arrays_zip(letters(F.col("token_pattern")).alias("t"), letters(F.col("sequence_42")).alias("a"))).alias("z"))
-    return each.groupBy("template_id").agg(
-        F.count(F.lit(1)).alias("n_residues"), F.count_if(F.col("z.t") == "H").alias("n_hydrophobic"), F.count_if(F.col("z.t") == "P").alias("n_polar"),
-        F.count_if(F.col("z.t").isin("p", "c", "g")).alias("n_locked"), F.count_distinct("z.a").alias("n_different"), F.round(F.avg(hydropathy(F.col("z.a"))), 6).alias("mean_hydropathy"),
+    """Counts by letter are summed, so no residue becomes a row."""
+    made = _made(spark, sf_dir, 42).select("template_id", "token_pattern", F.col("sequence_42").alias("s"))
+    count = lambda of, letter: F.length(of) - F.length(F.replace(F.col(of), F.lit(letter), F.lit("")))
+    n = {letter: F.sum(count("s", letter)) for letter in EXTENDED}
+    sums = made.groupBy("template_id").agg(
+        F.sum(F.length("token_pattern")).alias("n_residues"), F.sum(count("token_pattern", "H")).alias("n_hydrophobic"), F.sum(count("token_pattern", "P")).alias("n_polar"),
+        F.sum(sum((count("token_pattern", x) for x in "pcg"), F.lit(0))).alias("n_locked"), *[v.alias(f"n_{x}") for x, v in n.items()],
     )
+    known = sum((F.col(f"n_{x}") for x in HYDROPATHY), F.lit(0))
+    mean = sum((F.col(f"n_{x}") * round(10 * v) for x, v in HYDROPATHY.items()), F.lit(0)) / (known * 10)  # tenths add up exactly
+    different = sum(((F.col(f"n_{x}") > 0).cast("long") for x in EXTENDED), F.lit(0))
+    return sums.select("template_id", "n_residues", "n_hydrophobic", "n_polar", "n_locked", different.alias("n_different"), F.round(mean, 6).alias("mean_hydropathy"))
 
 
 def heptad_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +84,10 @@ _SEQ = "(SELECT p_partkey, upper(trim(p_name)) AS s, p_name FROM part)"
 _BAD = lambda allowed: f"list_sort(list_distinct(list_filter(string_split(regexp_replace(s, '[{allowed}]', '', 'g'), ''), lambda x: x <> '')))"
 _LISTED = lambda bad: f"'[''' || array_to_string({bad}, ''', ''') || ''']'"
 _POOL = lambda c: f"list_filter(string_split(regexp_replace(upper({c}), '[^A-Z]', '', 'g'), ''), lambda x, i: list_position(string_split(regexp_replace(upper({c}), '[^A-Z]', '', 'g'), ''), x) = i)"
-_AT = lambda p, seed: f"{p}[1 + ('0x' || substr(md5(concat_ws('|', '{seed}', template_id, variant_index::VARCHAR, (i - 1)::VARCHAR)), 1, 8))::BIGINT % len({p})]"
+_DIGITS = lambda seed: f"array_to_string(list_transform(range((length(token_pattern) + 7) // 8), lambda b: md5(concat_ws('|', '{seed}', template_id, variant_index::VARCHAR, b::VARCHAR))), '')"
+_AT = lambda p, seed: f"{p}[1 + ('0x' || substr(d{seed}, 4 * (i - 1)::INT + 1, 4))::BIGINT % len({p})]"
 _SEQUENCE = lambda seed: f"array_to_string(list_transform(string_split(token_pattern, ''), lambda t, i: CASE t WHEN 'H' THEN {_AT('h', seed)} WHEN 'P' THEN {_AT('p', seed)} ELSE upper(t) END), '')"
-_MADE = f"(SELECT *, {_SEQUENCE(42)} AS sequence_42, {_SEQUENCE(43)} AS sequence_43 FROM (SELECT *, {_POOL('hydrophobic_pool')} AS h, {_POOL('polar_pool')} AS p FROM variants))"
+_MADE = f"(SELECT *, {_SEQUENCE(42)} AS sequence_42, {_SEQUENCE(43)} AS sequence_43 FROM (SELECT *, {_POOL('hydrophobic_pool')} AS h, {_POOL('polar_pool')} AS p, {_DIGITS(42)} AS d42, {_DIGITS(43)} AS d43 FROM variants))"
 _TOKENS = f"translate(sequence_42, '{HYDROPHOBIC}{POLAR}PCG', '{'H' * len(HYDROPHOBIC)}{'P' * len(POLAR)}pcg')"
 _KD = "CASE a " + " ".join(f"WHEN '{a}' THEN {v}" for a, v in HYDROPATHY.items()) + " END"
 _HITS = "list_distinct(flatten(list_transform(list_filter(range(1, greatest(length(token_pattern) - 3, 1) + 1), lambda i: substr(upper(token_pattern), i, 4) = 'HPPH'), lambda i: range(i, i + 4))))"

@@ -85,10 +85,9 @@ def residue_running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    first = F.coalesce(F.col("raw_line").contains(","), F.lit(False)).cast("int")
-    return table(spark, sf_dir, "raw_reports").select("line_id", "file_name", F.sum(first).over(Window.partitionBy("file_name").orderBy("line_no", "line_id").rowsBetween(Window.unboundedPreceding, 0)).alias("rec_no"))
+    """The number of lines with a comma up to each line, per file."""
+    rows = table(spark, sf_dir, "raw_reports").select("line_id", "file_name", "line_no", F.coalesce(F.col("raw_line").contains(","), F.lit(False)).cast("int").alias("first"))
+    return running_total(rows, ["line_no", "line_id"], "first", "before", ["file_name"]).select("line_id", "file_name", (F.col("before") + F.col("first")).alias("rec_no"))
 
 
 def embed_index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
