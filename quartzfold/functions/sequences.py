@@ -12,7 +12,7 @@ from quartzfold.constants import AA20, BETA, COIL, EXTENDED, HELIX, HEPTAD, HEPT
 
 def letters(text: Column) -> Column:
     """The characters of a string as an array; empty for an empty string."""
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.slice(F.split(text, ""), F.lit(1), F.length(text))
 
 
 def is_valid_protein(seq: Column, gaps: bool = False, stop: bool = False) -> Column:
@@ -68,15 +68,16 @@ DRAWS = 8  # numbers of four hexadecimal digits that one MD5 gives
 
 
 def digests(n: Column, *key: Column) -> Column:
-    """Hexadecimal digits for ``n`` draws: the MD5 of the key's parts and of the number of each block of eight draws, the same in any engine, whatever the order of rows."""
+    """Hexadecimal digits for ``n`` draws, an MD5 for eight each: of the key's parts and the block's number, the same in any engine, whatever the order of rows."""
     text = F.concat_ws("|", *[k.cast("string") for k in key])
     blocks = F.sequence(F.lit(0), F.greatest(F.ceil(n / DRAWS).cast("int") - 1, F.lit(0)))
-    return once(text, lambda k: F.array_join(F.transform(blocks, lambda b: F.md5(F.concat_ws("|", k, b.cast("string")))), ""))
+    return once(text, lambda k: F.transform(blocks, lambda b: F.md5(F.concat_ws("|", k, b.cast("string")))))
 
 
 def drawn(digits: Column, i: Column, n: Column) -> Column:
     """The ``i``-th draw (from 0): a number from 0 to n - 1."""
-    return F.pmod(F.conv(digits.substr(4 * i + 1, F.lit(4)), 16, 10).cast("int"), n)
+    block = F.get(digits, F.floor(i / DRAWS).cast("int"))
+    return F.pmod(F.conv(block.substr(4 * (i % DRAWS) + 1, F.lit(4)), 16, 10).cast("int"), n)
 
 
 def instantiate(pattern: Column, hydrophobic: Column, polar: Column, *key: Column) -> Column:
