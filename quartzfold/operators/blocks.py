@@ -1,4 +1,4 @@
-"""Distances within groups of any size: exact quantiles, single-linkage clusters and medoids from pairs of blocks."""
+"""Distances within groups of any size: exact quantiles, clusters, silhouettes and medoids from pairs of blocks."""
 
 from __future__ import annotations
 
@@ -121,6 +121,59 @@ def _edges(group: object, same: bool, left: pd.DataFrame, right: pd.DataFrame, d
     return pd.DataFrame({"a": items[a], "b": items[b], "d": h})
 
 
+def _all_pairs(group: object, same: bool, left: pd.DataFrame, right: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+    i, j = np.triu_indices(len(d), 1) if same else (x.ravel() for x in np.indices(d.shape))
+    a, b = left["item"].to_numpy()[i], right["item"].to_numpy()[j]
+    return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "d": d[i, j]})
+
+
+def merges_of(structures: DataFrame, linkage: str, superposed: bool) -> DataFrame:
+    """The merges of complete or average linkage as edges (group_id, a, b, d): two clusters, by their first items, and their height.
+
+    Distances of clusters are a table of pairs. In each round all pairs of clusters merge that are each other's nearest
+    (equal distances: the first items); complete and average linkage never bring others nearer, so these are merges of
+    the agglomeration one by one. Maxima and sums of the pairs are then added up for the merged clusters. A round is
+    written to the shared folder; there are about as many as the logarithm of the items, more if clusters grow in a row.
+    """
+    item = dict(structures.dtypes)["item"]
+    pairs = _each(structures, superposed, _all_pairs, f"a {item}, b {item}, d double").withColumns({"s": F.col("d"), "n": F.lit(1).cast("long")})
+    pairs, found = cut(pairs), []
+    columns = ["group_id", "a", "b", "d"]
+    while not pairs.isEmpty():
+        both = pairs.select("group_id", "a", "b", "d").union(pairs.select("group_id", "b", "a", "d"))
+        near = both.groupBy("group_id", "a").agg(F.min(F.struct("d", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))).alias("m"))
+        merged = cut(near.groupBy("group_id", F.col("m.lo").alias("a"), F.col("m.hi").alias("b")).agg(F.max("m.d").alias("d"), F.count(F.lit(1)).alias("n")).where("n = 2").select(columns))
+        found.append(merged)
+        head = merged.select("group_id", F.col("b").alias("gone"), F.col("a").alias("kept"))
+        for end in ("a", "b"):
+            to = head.withColumnsRenamed({"gone": end})
+            pairs = pairs.join(to, ["group_id", end], "left").withColumn(end, F.coalesce("kept", end)).drop("kept")
+        joined = pairs.where("a <> b").groupBy("group_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("d").alias("most"), F.sum("s").alias("s"), F.sum("n").alias("n"))
+        pairs = cut(joined.select("group_id", "a", "b", (F.col("most") if linkage == "complete" else F.col("s") / F.col("n")).alias("d"), "s", "n"))
+    out = structures.select("group_id", F.col("item").alias("a"), F.col("item").alias("b"), F.lit(0.0).alias("d")).where("false")
+    for merged in found:
+        out = out.unionByName(merged)
+    return out
+
+
+def label_sums(structures: DataFrame, superposed: bool) -> DataFrame:
+    """group_id, item, label, far, n, s: for each item the number of items of each label of its group but itself, and the sum of its distances to them."""
+    kinds = dict(structures.dtypes)
+
+    def sums(group: object, same: bool, left: pd.DataFrame, right: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+        out = []
+        for own, far, m in [(left, right, d)] if same else [(left, right, d), (right, left, d.T)]:
+            names, at = np.unique(far.label.to_numpy(), return_inverse=True)
+            of = (at[:, None] == np.arange(len(names))).astype(float)
+            n = np.broadcast_to(of.sum(axis=0), (len(own), len(names))) - (of if same else 0)
+            i, j = np.nonzero(n > 0)
+            out.append(pd.DataFrame({"item": own["item"].to_numpy()[i], "label": own.label.to_numpy()[i], "far": names[j], "n": n[i, j].astype(np.int64), "s": (m @ of)[i, j] if m.size else np.zeros(0)}))
+        return pd.concat(out)
+
+    each = _each(structures, superposed, sums, f"item {kinds['item']}, label {kinds['label']}, far {kinds['label']}, n bigint, s double")
+    return each.groupBy("group_id", "item", "label", "far").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
 def _labels(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray, cutoffs: np.ndarray) -> list[np.ndarray]:
     """Labels from 0, in order of first items, of the components by edges up to each of the rising ``cutoffs``."""
     head, out, at = np.arange(n), [], 0
@@ -142,10 +195,10 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray, cutoffs: np.nda
 
 
 def cluster_large(structures: DataFrame, spec, score: Callable[[np.ndarray, np.ndarray], float]) -> DataFrame:
-    """group_id, item, cluster_id, is_medoid, cutoff, silhouette, n_clusters by single linkage, for groups of any size.
+    """group_id, item, cluster_id, is_medoid, cutoff, silhouette, n_clusters, for groups of any size.
 
-    A spanning tree of a group lies within the trees of its pairs of blocks, and gives the labels at every cutoff. The
-    labels of a higher cutoff join those of a lower one, so one pass of sums of distances by item and label of the lowest
+    Single linkage: a spanning tree of a group lies within the trees of its pairs of blocks, and gives the labels at every
+    cutoff. Other linkages: the merges are such a tree. The labels of a higher cutoff join those of a lower one, so one pass of sums of distances by item and label of the lowest
     cutoff that counts is enough for all silhouettes (``score`` of sums and labels) and medoids. One task holds a group's
     edges and sums, never its distances.
     """
@@ -172,7 +225,7 @@ def cluster_large(structures: DataFrame, spec, score: Callable[[np.ndarray, np.n
         each = np.stack([of for _, of in chosen], axis=1)
         return pd.DataFrame({"group_id": key[0], "item": items, "labels": list(each.astype(np.int32)), "cutoffs": [[c for c, _ in chosen]] * len(items), "counts": counts})
 
-    edges = _each(structures, spec.superposed, _edges, f"a {item}, b {item}, d double")
+    edges = _each(structures, spec.superposed, _edges, f"a {item}, b {item}, d double") if spec.linkage == "single" else merges_of(structures, spec.linkage, spec.superposed)
     labelled = cut(edges.groupBy("group_id").applyInPandas(label, f"group_id {kinds['group_id']}, item {item}, labels array<int>, cutoffs array<double>, counts boolean"))
 
     def sums(group: object, same: bool, left: pd.DataFrame, right: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:

@@ -9,14 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzfold.operators.blocks import cluster_large, quantiles
+from quartzfold.operators.blocks import cluster_large, label_sums, quantiles
 from quartzfold.operators.rmsd import distances
 
 
 @dataclass(frozen=True)
 class ClusterSpec:
-    """``most`` bounds the structures of a group whose distances one task may hold; with ``beyond`` larger groups are
-    clustered in blocks (single linkage only), else they come out with a note."""
+    """``most`` bounds the structures of a group whose distances one task may hold; larger groups are clustered in blocks, with the same result."""
 
     linkage: str = "single"
     cutoffs: int = 50
@@ -27,7 +26,6 @@ class ClusterSpec:
     fixed: float | None = None
     superposed: bool = True
     most: int = 5000
-    beyond: bool = False
 
     def __post_init__(self) -> None:
         if self.linkage not in ("single", "complete", "average"):
@@ -127,13 +125,11 @@ def cluster_groups(structures: DataFrame, spec: ClusterSpec = ClusterSpec()) ->
     """One row per structure (group_id, item, coords): its cluster, whether it is the medoid, the cutoff, and a note.
 
     Items are taken in their own order. Groups with fewer than two structures or with unequal lengths get null clusters
-    and the reason as note, as do those of more than ``spec.most`` structures that ``spec.beyond`` doesn't cover; no group
-    fails another.
+    and the reason as note; no group fails another, and none is too large.
     """
     kinds = dict(structures.dtypes)
     sized = structures.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.size("coords")).alias("lengths"))
-    beyond = spec.beyond and spec.linkage == "single"
-    note = F.when(F.col("n") < 2, "too_few_structures").when((F.col("n") > spec.most) & F.lit(not beyond), "too_many_structures").when(F.col("lengths") > 1, "cluster_failed: structures differ in length")
+    note = F.when(F.col("n") < 2, "too_few_structures").when(F.col("lengths") > 1, "cluster_failed: structures differ in length")
     noted = structures.join(sized.select("group_id", note.alias("note"), (F.col("n") > spec.most).alias("large")), "group_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,7 +145,7 @@ def cluster_groups(structures: DataFrame, spec: ClusterSpec = ClusterSpec()) ->
     rest = noted.where("note is not null").selectExpr("group_id", "item", "cast(null as int) cluster_id", "cast(null as boolean) is_medoid", "cast(null as double) cutoff", "cast(null as double) silhouette", "cast(null as int) n_clusters", "note")
     done = done.unionByName(rest)
     large = noted.where("note is null and large").select("group_id", "item", "coords")
-    return done if not beyond or large.isEmpty() else done.unionByName(cluster_large(large, spec, silhouette_of))
+    return done if large.isEmpty() else done.unionByName(cluster_large(large, spec, silhouette_of))
 
 
 def distance_summary(structures: DataFrame, spec: ClusterSpec = ClusterSpec()) -> DataFrame:
@@ -172,19 +168,24 @@ def distance_summary(structures: DataFrame, spec: ClusterSpec = ClusterSpec()) -
 
 
 def label_quality(structures: DataFrame, spec: ClusterSpec = ClusterSpec()) -> DataFrame:
-    """Per group (group_id, item, label, coords) the silhouette of given labels and each label's medoid: group_id, label, size, medoid, silhouette."""
-    kinds = dict(structures.dtypes)
+    """Per group (group_id, item, label, coords) the silhouette of given labels and each label's medoid: group_id, label, size, medoid, silhouette.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item")
-        x = np.stack(pdf.coords)
-        d = distances(x, x, spec.superposed)
-        names, labels = np.unique(pdf.label, return_inverse=True)
-        s = silhouette(d, labels + 1) if 1 < len(names) < len(pdf) else None
-        of = medoids(d, labels)
-        return pd.DataFrame({"group_id": pdf.group_id.iloc[0], "label": names, "size": np.bincount(labels), "medoid": [pdf["item"].to_numpy()[(labels == i) & of][0] for i in range(len(names))], "silhouette": s})
-
-    return structures.select("group_id", "item", "label", "coords").groupBy("group_id").applyInPandas(run, f"group_id {kinds['group_id']}, label {kinds['label']}, size bigint, medoid {kinds['item']}, silhouette double")
+    Sums of distances by item and label come from pairs of blocks; an item alone in its label counts 0. With one label,
+    or as many as items, the silhouette is null. A group of any size is never gathered.
+    """
+    by = ["group_id", "item", "label"]
+    sizes = structures.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("size"))
+    total = label_sums(structures.select(*by, "coords"), spec.superposed)
+    own, far = F.col("label") == F.col("far"), F.col("label") != F.col("far")
+    each = total.groupBy(by).agg(F.sum(F.when(own, F.col("s"))).alias("s"), F.sum(F.when(own, F.col("n"))).alias("n"), F.min(F.when(far, F.col("s") / F.col("n"))).alias("b"))
+    each = structures.select(by).join(each, by, "left")
+    a, top = F.col("s") / F.col("n"), F.greatest(F.col("s") / F.col("n"), "b")
+    score = F.when(F.col("n").isNull() | (top == 0), 0.0).otherwise((F.col("b") - a) / top)
+    medoid = F.min(F.struct(F.round(F.coalesce("s", F.lit(0.0)), 9).alias("s"), "item"))["item"].alias("medoid")
+    named = each.groupBy("group_id", "label").agg(medoid, F.sum(score).alias("s"))
+    whole = named.join(sizes, ["group_id", "label"]).groupBy("group_id").agg(F.count(F.lit(1)).alias("labels"), F.sum("size").alias("items"), F.sum("s").alias("sum"))
+    value = F.when((F.col("labels") > 1) & (F.col("labels") < F.col("items")), F.col("sum") / F.col("items"))
+    return named.join(sizes, ["group_id", "label"]).join(whole.select("group_id", value.alias("silhouette")), "group_id").select("group_id", "label", "size", "medoid", "silhouette")
 
 
 def assignment_rows(clustered: DataFrame, missing: DataFrame, filtered: DataFrame) -> DataFrame:

@@ -46,31 +46,58 @@ def block_pairs(structures: DataFrame, block: int) -> DataFrame:
     return each.select(*structures.columns, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine")
 
 
+def near_blocks(structures: DataFrame, cutoff: float, superposed: bool, block: int) -> DataFrame:
+    """Rows of ``structures`` for each unit of work as in ``block_pairs``, but only for blocks that can hold pairs within ``cutoff``.
+
+    Distances to one structure of the group (a pivot: its first item) differ by no more than the distance of the two. So
+    a group falls into slabs of the cutoff's width, of which only neighbours pair, and these into blocks by hash: an item
+    goes to the blocks of three slabs, however large its group. ``p`` <= ``q`` name slab and block. Structures of another
+    length than the pivot are slabs of their own length.
+    """
+    kind = dict(structures.dtypes)["group_id"]
+    pivot = structures.groupBy("group_id").agg(F.min(F.struct("item", "coords"))["coords"].alias("fixed"))
+    pivot = pivot.select("group_id", F.when(F.size("fixed") > 0, F.col("fixed")).alias("fixed"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            off, sizes = np.zeros(len(pdf)), pdf.coords.map(len)
+            same = sizes == pdf.fixed.map(lambda f: 0 if f is None else len(f))
+            for n in sizes[same].unique():
+                at = np.flatnonzero(same & (sizes == n))
+                if n:
+                    x, y = np.stack(pdf.fixed.iloc[at]).astype(float), np.stack(pdf.coords.iloc[at]).astype(float)
+                    off[at] = rmsd(x.reshape(len(at), -1, 3), y.reshape(len(at), -1, 3)) if superposed else np.sqrt(((x - y) ** 2).sum(axis=1))
+            yield pdf[["group_id", "item", "coords"]].assign(slab=np.floor(off / (cutoff * (1 + 1e-6) + 1e-9)).astype(np.int64), n=sizes)
+
+    slabs = structures.join(pivot, "group_id").select("group_id", "item", "coords", "fixed").mapInPandas(run, f"group_id {kind}, item {dict(structures.dtypes)['item']}, coords {dict(structures.dtypes)['coords']}, slab bigint, n int")
+    many = slabs.groupBy("group_id", "n", "slab").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = slabs.join(many, ["group_id", "n", "slab"]).withColumn("mine", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    other = many.select("group_id", "n", F.col("slab").alias("oslab"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("oblock"))
+    sent = placed.withColumn("oslab", F.explode(F.array(*[F.col("slab") + k for k in (-1, 0, 1)]))).join(other, ["group_id", "n", "oslab"])
+    own, far = F.struct("n", F.col("slab").alias("slab"), F.col("mine").alias("block")), F.struct("n", F.col("oslab").alias("slab"), F.col("oblock").alias("block"))
+    return sent.select("group_id", "item", "coords", F.least(own, far).alias("p"), F.greatest(own, far).alias("q"), (own == F.least(own, far)).alias("left"), (own == F.greatest(own, far)).alias("right"))
+
+
 def close_pairs(structures: DataFrame, cutoff: float, superposed: bool = True, block: int = 256) -> DataFrame:
     """Pairs a < b of one group within ``cutoff``: group_id, a, b.
 
-    ``structures``: group_id, item (bigint, unique), coords (array of numbers, equally long in a group; others never
-    pair). Items fall into blocks by hash; each two blocks of a group are one unit of work, so a large group spreads
-    over many tasks, and only pairs within the cutoff come out.
+    ``structures``: group_id, item (bigint, unique), coords (array of numbers; those of other lengths never pair). Each two
+    blocks that can hold such pairs are one unit of work, so a large group spreads over many tasks, and only pairs
+    within the cutoff come out.
     """
-    sent = block_pairs(structures, block)
 
     def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, p, q = key
-        left, right = pdf[pdf.mine == p], pdf[pdf.mine == q]
-        found = []
-        for n, own in left.groupby(left.coords.map(len)):
-            facing = right[right.coords.map(len) == n]
-            if len(facing) and n:
-                d = distances(np.stack(own.coords), np.stack(facing.coords), superposed)
-                i, j = np.nonzero(d <= cutoff)
-                a, b = own.item.to_numpy()[i], facing.item.to_numpy()[j]
-                found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b])
-        out = pd.concat(found).drop_duplicates() if found else pd.DataFrame({"a": [], "b": []})
+        left, right = pdf[pdf.left], pdf[pdf.right]
+        out = pd.DataFrame({"a": [], "b": []})
+        if len(left) and len(right) and len(left.coords.iloc[0]):
+            d = distances(np.stack(left.coords), np.stack(right.coords), superposed)
+            i, j = np.nonzero(d <= cutoff)
+            a, b = left.item.to_numpy()[i], right.item.to_numpy()[j]
+            out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b].drop_duplicates()
         return out.assign(group_id=key[0])[["group_id", "a", "b"]]
 
     kind = dict(structures.dtypes)["group_id"]
-    return sent.groupBy("group_id", "p", "q").applyInPandas(pairs, f"group_id {kind}, a bigint, b bigint")
+    return near_blocks(structures, cutoff, superposed, block).groupBy("group_id", "p", "q").applyInPandas(pairs, f"group_id {kind}, a bigint, b bigint")
 
 
 def single_linkage(structures: DataFrame, cutoff: float, superposed: bool = True) -> DataFrame:

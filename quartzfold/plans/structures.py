@@ -148,12 +148,12 @@ def single_linkage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_cutoff_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster_groups(_structures(spark, sf_dir, 63), ClusterSpec(beyond=True))
+    return cluster_groups(_structures(spark, sf_dir, 63), ClusterSpec())
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _structures(spark, sf_dir, 63)
-    return cluster_groups(s, ClusterSpec(beyond=True)).join(s, ["group_id", "item"]).select("group_id", "cluster_id", "item", "is_medoid", "coords")
+    return cluster_groups(s, ClusterSpec()).join(s, ["group_id", "item"]).select("group_id", "cluster_id", "item", "is_medoid", "coords")
 
 
 def cluster_average(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def _filtered(spark: SparkSession, structures: str, metrics: str, metadata: str,
 
 
 def cluster(
-    spark: SparkSession, structures: str, out: str, spec: ClusterSpec = ClusterSpec(beyond=True), metrics: str | None = None, metadata: str | None = None, most_rasa: float = 0.25, least_cosine: float = 0.2,
+    spark: SparkSession, structures: str, out: str, spec: ClusterSpec = ClusterSpec(), metrics: str | None = None, metadata: str | None = None, most_rasa: float = 0.25, least_cosine: float = 0.2,
     helices: tuple[tuple[int, int], ...] = ((3, 10), (20, 26), (36, 44), (54, 60)),
 ) -> None:
     """Cluster assignments and medoids of the structures of each template.

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzfold.operators.averaging import average_clusters
-from quartzfold.operators.clustering import ClusterSpec, assignment_rows, cluster_groups, cutoff_search, distance_summary, labels_at, medoids, merges, silhouette
+from quartzfold.operators.clustering import ClusterSpec, assignment_rows, cluster_groups, cutoff_search, distance_summary, label_quality, labels_at, medoids, merges, silhouette
 from quartzfold.operators.metrics import gate, mean_bfactor, residue_metrics, summary, with_group
 from quartzfold.operators.overlay import overlay, overlay_report
 from quartzfold.operators.pca import fit_pca, project
@@ -65,23 +65,34 @@ def test_clusters_of_groups(spark):
     assert {r["n_clusters"] for r in by["g"]} == {3} and sum(r["is_medoid"] for r in by["g"]) == 3
     assert all(len({r["cluster_id"] for r in by["g"] if r["item"] % 3 == k}) == 1 for k in range(3))
     assert [r["note"] for r in by["one"]] == ["too_few_structures"] and {r["note"] for r in by["odd"]} == {"cluster_failed: structures differ in length"}
-    assert {r["note"] for r in cluster_groups(frames(spark), ClusterSpec(most=10)).where("group_id = 'g'").collect()} == {"too_many_structures"}
     assert cluster_groups(frames(spark).where("false")).count() == 0
     d = {r["group_id"]: r for r in distance_summary(frames(spark).where("group_id <> 'odd'")).collect()}
     assert d["g"]["n_pairs"] == 55 * 54 // 2 and "one" not in d
 
 
-@pytest.mark.parametrize("how", [{}, {"superposed": False}, {"fixed": 0.01}, {"greatest": 2}])
+@pytest.mark.parametrize("how", [{}, {"superposed": False}, {"fixed": 0.01}, {"greatest": 2}, {"linkage": "complete"}, {"linkage": "average", "superposed": False}])
 def test_large_groups_in_blocks(spark, monkeypatch, how):
     df = frames(spark).where("group_id <> 'odd'")
     monkeypatch.setattr("quartzfold.operators.blocks.BLOCK", 20)
-    small, large = ClusterSpec(**how), ClusterSpec(most=10, beyond=True, **how)
+    small, large = ClusterSpec(**how), ClusterSpec(most=10, **how)
     near = lambda v: round(v, 9) if isinstance(v, float) else v
     rows = lambda f: sorted((tuple(near(v) for v in r) for r in f.collect()), key=str)
     assert rows(cluster_groups(df, large)) == rows(cluster_groups(df, small))
     assert rows(distance_summary(df, large)) == rows(distance_summary(df, small))
 
 
+def test_quality_of_given_labels(spark, monkeypatch):
+    monkeypatch.setattr("quartzfold.operators.blocks.BLOCK", 20)
+    df = frames(spark).where("group_id <> 'odd'").withColumn("label", F.when(F.col("item") == 7, 9).otherwise((F.col("item") % 3).cast("int")))
+    got = {(r["group_id"], r["label"]): r for r in label_quality(df, ClusterSpec(superposed=False)).collect()}
+    rows = sorted((r["item"], r["label"], np.array(r["coords"])) for r in df.where("group_id = 'g'").collect())
+    x, labels = np.stack([r[2] for r in rows]), np.unique([r[1] for r in rows], return_inverse=True)[1]
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    assert np.isclose(got["g", 9]["silhouette"], silhouette(d, labels + 1)) and got["g", 9]["medoid"] == 7 and got["g", 9]["size"] == 1
+    assert {got["g", k]["medoid"] for k in range(3)} | {7} == {rows[i][0] for i in np.flatnonzero(medoids(d, labels))}
+    assert got["one", 0]["silhouette"] is None and got["one", 0]["medoid"] == 900
+
+
 def test_blocks_find_all_close_pairs(spark):
     df = frames(spark)
     rows = [(r["group_id"], r["item"], np.array(r["coords"]).reshape(-1, 3)) for r in df.collect()]
