@@ -15,12 +15,6 @@ HYDROPATHY = {
     "L": 3.8, "K": -3.9, "M": 1.9, "F": 2.8, "P": -1.6, "S": -0.8, "T": -0.7, "W": -0.9, "Y": -1.3, "V": 4.2,
 }
 
-# Three-letter names.
-THREE = {
-    "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
-    "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
-}
-
 # Largest accessible surface of a residue in square angstrom, after Sander and Rost (1994).
 MAX_SURFACE = {
     "A": 106, "R": 248, "N": 157, "D": 163, "C": 135, "Q": 198, "E": 194, "G": 84, "H": 184, "I": 169,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quartzfold.constants import AA20, BETA, COIL, EXTENDED, HELIX, HEPTAD, HEPTAD_ROLE, HYDROPATHY, HYDROPHOBIC, POLAR, SPECIAL, TOKEN_OF
+from quartzfold.constants import AA20, BETA, COIL, EXTENDED, HELIX, HEPTAD, HEPTAD_ROLE, HYDROPATHY, HYDROPHOBIC, POLAR, SPECIAL, TOKEN_OF, TOKENS
 
 
 def letters(text: Column) -> Column:
@@ -41,10 +41,10 @@ def natural_reason(seq: Column) -> Column:
     )
 
 
-def token_reason(pattern: Column) -> Column:
-    """Why a token pattern is not valid: null for a valid one. Case counts; blanks don't."""
+def token_reason(pattern: Column, allowed: str = TOKENS) -> Column:
+    """Why a token pattern is not valid: null for a valid one. Case counts; blanks don't. ``allowed`` may be ``HP`` alone."""
     p = F.replace(F.trim(pattern), F.lit(" "), F.lit(""))
-    first = F.regexp_extract(p, "[^HPpcg]", 0)
+    first = F.regexp_extract(p, f"[^{allowed}]", 0)
     return F.when(pattern.isNull() | (p == ""), "Empty token pattern").when(first != "", F.concat(F.lit("Invalid token '"), first, F.lit("'")))
 
 

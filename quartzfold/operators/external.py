@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quartzfold.functions.sequences import effective_length
+
 
 @dataclass(frozen=True)
 class RetrySpec:
@@ -83,7 +85,7 @@ def embed(sequences: DataFrame, done: DataFrame, make_model: Callable[[], Callab
             for i in range(0, len(pdf), batch):
                 part = pdf.iloc[i : i + batch]
                 try:
-                    found = model([s[: most - 2] if most else s for s in part.sequence])
+                    found = model(list(part.sequence))
                     for name, a in zip(part.variant_id, found, strict=True):
                         if not np.isfinite(a).all():
                             raise ValueError(f"{name}: not finite")
@@ -92,14 +94,43 @@ def embed(sequences: DataFrame, done: DataFrame, make_model: Callable[[], Callab
                     yield pd.DataFrame({"variant_id": part.variant_id, "pos": None, "vec": None, "error": f"{type(e).__name__}: {e}"})
 
     todo = sequences.join(done.select("variant_id").distinct(), "variant_id", "left_anti")
-    return todo.select("variant_id", F.coalesce("sequence", F.lit("")).alias("sequence")).mapInPandas(run, "variant_id string, pos int, vec array<float>, error string")
+    seq = F.coalesce("sequence", F.lit(""))
+    return todo.select("variant_id", F.substring(seq, F.lit(1), effective_length(F.length(seq), most)).alias("sequence")).mapInPandas(run, "variant_id string, pos int, vec array<float>, error string")
+
+
+def index_rows(sequences: DataFrame, vectors: DataFrame, existing: DataFrame, assigned: DataFrame | None, model: str, device: str, path: str) -> DataFrame:
+    """One row per sequence for the index of vectors: variant_id, template_id, cluster_id, sequence_length, model_name, device, embedding_path, status, error.
+
+    ``vectors``: variant_id, pos, error, as ``embed`` gives them; ``existing``: variant_id of vectors from before, which
+    are skipped; ``assigned``: variant_id, template_id, cluster_id, row_id (the last row of a variant counts), null for
+    none. A sequence with an error, or without any vector, failed.
+    """
+    done = vectors.groupBy("variant_id").agg(F.max("error").alias("error"), F.count("pos").alias("n"))
+    rows = sequences.select("variant_id", F.coalesce(F.length("sequence"), F.lit(0)).alias("sequence_length")).join(done, "variant_id", "left")
+    rows = rows.join(existing.select("variant_id").distinct().withColumn("_old", F.lit(True)), "variant_id", "left")
+    if assigned is None:
+        rows = rows.withColumns({"template_id": F.lit(None).cast("string"), "cluster_id": F.lit(None).cast("int")})
+    else:
+        last = assigned.where("variant_id is not null").groupBy("variant_id").agg(F.max(F.struct("row_id", "template_id", "cluster_id")).alias("_a"))
+        rows = rows.join(last, "variant_id", "left").withColumns({"template_id": F.col("_a.template_id"), "cluster_id": F.col("_a.cluster_id")})
+    failed = F.col("error").isNotNull() | F.col("n").isNull()
+    status = F.when(F.col("_old"), "skipped").when(failed, "failed").otherwise("ok")
+    error = F.when(F.col("_old"), "exists_valid").when(failed, F.coalesce("error", F.lit("no vector"))).otherwise("")
+    return rows.select("variant_id", "template_id", "cluster_id", "sequence_length", F.lit(model).alias("model_name"), F.lit(device).alias("device"), F.concat(F.lit(f"{path}/"), "variant_id").alias("embedding_path"), status.alias("status"), error.alias("error"))
 
 
 def index_problems(index: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """Entries of an index (variant_id, path, sequence_length) whose stored vector (path, vector, embedding_dim) doesn't fit: variant_id, path, problem."""
+    """Entries of an index whose stored vector doesn't fit: variant_id, path, problem (the first that applies).
+
+    ``index``: variant_id, path and, where these are to be compared, sequence, model_name, layer; ``vectors``: path,
+    vector, and stored_sequence, stored_model, stored_layer, stored_dtype for the same.
+    """
     joined = index.join(vectors, "path", "left")
     problem = (
         F.when(F.col("vector").isNull(), "missing").when(F.size("vector") != dim, "wrong_length")
         .when(F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "not_finite")
     )
+    for own, stored, name in (("sequence", "stored_sequence", "other_sequence"), ("model_name", "stored_model", "other_model"), ("layer", "stored_layer", "other_layer"), ("dtype", "stored_dtype", "other_dtype")):
+        if own in index.columns and stored in vectors.columns:
+            problem = problem.when(~F.col(own).eqNullSafe(F.col(stored)), name)
     return joined.select("variant_id", "path", problem.alias("problem")).where("problem is not null")

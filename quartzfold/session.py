@@ -35,6 +35,12 @@ def _cuts(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quartzfold-{spark.sparkContext.applicationId}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name, in whatever file system it names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def drop_cuts(spark: SparkSession) -> None:
     """Delete the tables that this application has written with ``cut``; frames read from them can't be used after that."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_cuts(spark))

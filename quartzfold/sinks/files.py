@@ -43,9 +43,9 @@ def write_ids(df: DataFrame, path: str, key: str = "variant_id") -> None:
     df.select(F.col(key).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-def append_index(df: DataFrame, path: str) -> None:
-    """Add rows to an index table; earlier rows stay, and readers take the latest of each key."""
-    df.write.mode("append").parquet(path)
+def append_index(df: DataFrame, path: str, append: bool = True) -> None:
+    """Add rows to an index table; earlier rows stay unless ``append`` is false, and readers take the latest of each key."""
+    df.write.mode("append" if append else "overwrite").parquet(path)
 
 
 def write_structures(lines: DataFrame, path: str) -> None:

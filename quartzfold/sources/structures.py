@@ -14,13 +14,13 @@ from quartzfold.constants import MAX_SURFACE
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str = "*.pdb") -> DataFrame:
-    """variant_id (the file name without its last suffix), line_no, line of every file below ``path`` that matches."""
+    """variant_id (the file name without its last suffix), line_no, line, path of every file below ``path`` that matches."""
     whole = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True)
     # file names come with their special characters escaped, as in addresses
     plain = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     name = F.regexp_replace(plain, r"\.[^.]*$", "")
-    lines = whole.select(name.alias("variant_id"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), "\r\n|\n")).alias("line_no", "line"))
-    return lines.select("variant_id", "line_no", "line")
+    lines = whole.select(name.alias("variant_id"), F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), "\r\n|\n")).alias("line_no", "line"))
+    return lines.select("variant_id", "line_no", "line", "path")
 
 
 def atoms(lines: DataFrame) -> DataFrame:
@@ -39,26 +39,49 @@ def atoms(lines: DataFrame) -> DataFrame:
     return out.join(ranked, ["variant_id", "model_idx", "chain_id"])
 
 
-def alpha_coordinates(atom_rows: DataFrame) -> DataFrame:
-    """variant_id and coords: x, y, z of all CA atoms of the first model in line order, as one array."""
-    ca = atom_rows.where("atom_name = 'CA' and model_idx = 0").groupBy("variant_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.array("x", "y", "z").alias("p")))).alias("a"))
+def one_location(atom_rows: DataFrame) -> DataFrame:
+    """``atom_rows`` with one row per atom: of alternate locations the one of the highest occupancy, the first of equal ones."""
+    key = ["variant_id", "model_idx", "chain_id", "hetflag", "resseq", "icode", "resname", "atom_name"]
+    occupancy = F.coalesce(F.trim(F.substring("line", 55, 6)).try_cast("double"), F.lit(0.0)).alias("occupancy")
+    others = [c for c in atom_rows.columns if c not in key]
+    best = atom_rows.groupBy(key).agg(F.max(F.struct(occupancy, (-F.col("line_no")).alias("order"), *others)).alias("_a"))
+    return best.select(*[F.col(c) if c in key else F.col(f"_a.{c}") for c in atom_rows.columns])
+
+
+def alpha_coordinates(atom_rows: DataFrame, model: int = 0) -> DataFrame:
+    """variant_id and coords: x, y, z of all CA atoms of a model in line order, as one array."""
+    ca = one_location(atom_rows.where((F.col("atom_name") == "CA") & (F.col("model_idx") == model))).groupBy("variant_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.array("x", "y", "z").alias("p")))).alias("a"))
     return ca.select("variant_id", F.flatten(F.transform("a", lambda s: s["p"])).alias("coords"))
 
 
-def backbone(atom_rows: DataFrame) -> DataFrame:
-    """variant_id, coords (all CA), moved (N, CA, C of the residues that have all three), layout and lines (those of ``moved``).
+def atom_names(text: str) -> tuple[str, ...]:
+    """The atom names of a list such as ``N, CA,c``: in upper case, each once, in order; ValueError for none."""
+    names = tuple(dict.fromkeys(n for n in (x.strip().upper() for x in text.split(",")) if n))
+    if not names:
+        raise ValueError("no atom names")
+    return names
 
-    Of the first model and chain, without hetero residues, in order of residues; of repeated atoms the one of the highest
-    occupancy. Where no residue has all three, ``moved`` is the CA alone, and ``layout`` says so.
+
+def backbone(atom_rows: DataFrame, align: tuple[str, ...] = ("CA",), averaged: tuple[str, ...] = ("N", "CA", "C")) -> DataFrame:
+    """variant_id, coords (``align`` atoms), moved (``averaged`` atoms of the residues that have all of them), layout and lines (those of ``moved``).
+
+    Of the first model and chain, without hetero residues, in order of residues that have all ``align`` atoms; of repeated
+    atoms the one of the highest occupancy. Where no residue has all ``averaged`` atoms, ``moved`` is the ``align`` atoms
+    alone, and ``layout`` says so.
     """
-    mine = atom_rows.where("model_idx = 0 and chain_ord = 0 and hetflag = ' ' and atom_name in ('N', 'CA', 'C')")
-    occupancy = F.coalesce(F.trim(F.substring("line", 55, 6)).try_cast("double"), F.lit(0.0)).alias("occupancy")
-    one = mine.groupBy("variant_id", "resseq", "icode", "atom_name").agg(F.max(F.struct(occupancy, (-F.col("line_no")).alias("order"), "line_no", F.array("x", "y", "z").alias("at"))).alias("a"), F.min("line_no").alias("start"))
-    named = [F.max(F.when(F.col("atom_name") == n, F.struct("a.line_no", "a.at"))).alias(n) for n in ("N", "CA", "C")]
-    each = one.groupBy("variant_id", "resseq", "icode").agg(F.min("start").alias("start"), *named).where("CA is not null")
-    r = each.groupBy("variant_id").agg(F.array_sort(F.collect_list(F.struct("start", "N", "CA", "C"))).alias("r")).withColumn("whole", F.expr("filter(r, s -> s.N is not null and s.C is not null)"))
-    r = r.withColumn("all", F.expr("if(size(whole) > 0, flatten(transform(whole, s -> array(s.N, s.CA, s.C))), transform(r, s -> s.CA))"))
-    return r.selectExpr("variant_id", "flatten(transform(r, s -> s.CA.at)) coords", "flatten(transform(all, a -> a.at)) moved", "if(size(whole) > 0, 'N, CA, C', 'CA alone') layout", "transform(all, a -> a.line_no) lines")
+    names = tuple(dict.fromkeys([*align, *averaged]))
+    mine = one_location(atom_rows.where("model_idx = 0 and chain_ord = 0 and hetflag = ' '").where(F.col("atom_name").isin(*names)))
+    atom = F.struct("line_no", F.array("x", "y", "z").alias("at"))
+    each = mine.groupBy("variant_id", "resseq", "icode").agg(F.min("line_no").alias("start"), *[F.max(F.when(F.col("atom_name") == n, atom)).alias(f"a{i}") for i, n in enumerate(names)])
+    of = lambda some: F.array(*[F.col(f"a{names.index(n)}") for n in some])
+    has = lambda some: F.forall(of(some), lambda a: a.isNotNull())
+    rows = each.where(has(align)).groupBy("variant_id").agg(F.array_sort(F.collect_list(F.struct("start", of(align).alias("fixed"), F.when(has(averaged), of(averaged)).alias("own")))).alias("r"))
+    fixed = F.flatten(F.transform("r", lambda s: s["fixed"]))
+    own = F.flatten(F.transform(F.filter("r", lambda s: s["own"].isNotNull()), lambda s: s["own"]))
+    place = lambda atoms: F.flatten(F.transform(atoms, lambda a: a["at"]))
+    rows = rows.select("variant_id", fixed.alias("fixed"), own.alias("own")).withColumn("all", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("fixed")))
+    layout = F.when(F.size("own") > 0, ", ".join(averaged)).otherwise(f"{', '.join(align)} alone")
+    return rows.select("variant_id", place(F.col("fixed")).alias("coords"), place(F.col("all")).alias("moved"), layout.alias("layout"), F.transform("all", lambda a: a["line_no"]).alias("lines"))
 
 
 def residues(lines: DataFrame) -> DataFrame:

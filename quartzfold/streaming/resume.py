@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from quartzfold.session import exists
+
 
 def process_new(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, step: Callable[[DataFrame], DataFrame], key: str) -> StreamingQuery:
     """Run ``step`` on rows that arrive as Parquet files under ``source`` and add its results to the table ``target``.
@@ -17,11 +19,8 @@ def process_new(spark: SparkSession, source: str, schema: str, target: str, chec
 
     def add(batch: DataFrame, number: int) -> None:
         new = batch.dropDuplicates([key])
-        try:
+        if exists(spark, f"{target}/_SUCCESS"):  # only the keys' column is read
             new = new.join(spark.read.parquet(target).select(key), key, "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         step(new).write.mode("append").parquet(target)
 
     stream = spark.readStream.schema(schema).parquet(source)

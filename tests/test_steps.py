@@ -1,6 +1,7 @@
 """The steps over files, one after the other."""
 
 import numpy as np
+import pytest
 
 from quartzfold.steps import main
 
@@ -38,6 +39,41 @@ def test_all_steps(spark, tmp_path):
     main(["overlay", "--structures", p("pdb"), "--vectors", p("emb"), "--model", p("pca"), "--out", p("o"), "--which", "2"])
     report = csv("o/report")
     assert len(report) == 6 and {r["n_ca_written"] for r in report} == {"16"} and {r["reason"] for r in report} == {None}
+    main(["overlay", "--structures", p("pdb"), "--vectors", p("emb"), "--model", p("pca"), "--out", p("o"), "--which", "2", "--limit", "2"])
+    assert {(r["ok"], r["reason"]) for r in csv("o/report")} == {("true", "skipped_exists")}
+    (tmp_path / "few").write_text(f"{names[0]}\nnobody\n")
+    main(["pca", "--vectors", p("emb"), "--out", p("pca2"), "--k", "2", "--most", "20", "--no-scores"])
+    assert [(r["n_sequences"], r["n_residues_used"], r["embedding_dim"]) for r in csv("pca2/report")] == [("2", "20", "5")]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "z.pdb").write_text("END\n")
+    main(["overlay", "--structures", p("none"), "--vectors", p("emb"), "--model", p("pca2"), "--out", p("o2"), "--ids", p("few")])
+    assert [(r["variant_id"], r["ok"], r["reason"]) for r in csv("o2/report")] == [(names[0], "false", "missing_pdb")]
+    main(["overlay", "--structures", p("pdb"), "--vectors", p("emb"), "--model", p("pca2"), "--out", p("o3"), "--which", "3", "--ids", p("few")])
+    assert [(r["ok"], r["reason"]) for r in csv("o3/report")] == [("false", "pc_scores_shape_mismatch")]
+
+
+def test_predict_and_embed_steps(spark, tmp_path, monkeypatch):
+    p = lambda x: str(tmp_path / x)
+    csv = lambda x: spark.read.option("header", True).csv(p(x)).collect()
+    atom = ATOM.format(1, 1, 1, 2, 3, 50)
+    given = {"c": lambda: lambda seq: (404, "", None) if "W" in seq else (200, atom, None), "m": lambda: lambda seqs: [np.full((len(s), 3), len(s), np.float32) for s in seqs]}
+    monkeypatch.setattr("quartzfold.steps._factory", given.get)
+    (tmp_path / "v.fa").write_text(">a\nACD\n>b\nAWD\n>c\nACDEF\n>a\nACDE\n")
+    (tmp_path / "ids").write_text("a\nb\n")
+    for wanted in ({"a": "ok", "b": "failed"}, {"a": "skipped", "b": "failed"}):
+        main(["predict", "--fasta", p("v.fa"), "--out", p("p"), "--client", "c", "--ids", p("ids"), "--pause", "0.001"])
+        assert {r["variant_id"]: r["status"] for r in csv("p/report")} == wanted
+    assert len(list((tmp_path / "p" / "structures").glob("variant_id=a/part*"))) == 1 and [r[0] for r in spark.read.text(p("p/failed")).collect()] == ["b"]
+    (tmp_path / "s.csv").write_text("template_id,variant_id,cluster_id\nt,a,1\nt,b,1\nt,c,2\nt,x,2\n")
+    main(["embed", "--fasta", p("v.fa"), "--out", p("e"), "--model", "m", "--mode", "cluster_sample_k", "--assignments", p("s.csv"), "--k", "1"])
+    main(["embed", "--fasta", p("v.fa"), "--out", p("e"), "--model", "m", "--assignments", p("s.csv")])
+    rows = sorted((r["variant_id"], r["cluster_id"], r["sequence_length"], r["status"], r["error"]) for r in spark.read.parquet(p("e/index")).collect())
+    assert rows == [("a", 1, 4, "ok", ""), ("a", 1, 4, "skipped", "exists_valid"), ("b", 1, 3, "ok", ""), ("c", 2, 5, "ok", ""), ("c", 2, 5, "skipped", "exists_valid")]
+    main(["pca", "--vectors", p("e/vectors"), "--out", p("pca"), "--k", "1"])
+    assert csv("pca/report")[0]["n_residues_used"] == "12"
+    (tmp_path / "v.fa").write_text(">a\nACC\n")
+    with pytest.raises(ValueError, match="another sequence"):
+        main(["embed", "--fasta", p("v.fa"), "--out", p("e"), "--model", "m"])
 
 
 def test_cluster_step_filters_and_names_the_rest(spark, tmp_path):
