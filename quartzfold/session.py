@@ -35,6 +35,11 @@ def _cuts(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quartzfold-{spark.sparkContext.applicationId}"
 
 
+def scratch(spark: SparkSession) -> str:
+    """The path of a new folder in the shared folder, for files; ``drop_cuts`` deletes it."""
+    return f"{_cuts(spark)}/{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder of this name, in whatever file system it names."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -36,7 +36,7 @@ def with_skipped(variants: DataFrame, skipped: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header in every file, also for an empty table; nulls are empty, arrays joined by semicolons."""
     flat = [F.array_join(F.transform(n, lambda x: x.cast("string")), ";").alias(n) if t.startswith("array") else F.col(n) for n, t in df.dtypes]
-    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_ids(df: DataFrame, path: str, key: str = "variant_id") -> None:

@@ -3,11 +3,11 @@
 import pytest
 from compare import connect, same
 
-from quartzfold.plans import library, quality, structures
+from quartzfold.plans import files, library, quality, structures
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {**library.QUERIES, **structures.QUERIES, **quality.QUERIES}
-SQL = {**library.SQL, **structures.SQL, **quality.SQL}
+QUERIES = {**library.QUERIES, **structures.QUERIES, **files.QUERIES, **quality.QUERIES}
+SQL = {**library.SQL, **structures.SQL, **files.SQL, **quality.SQL}
 
 
 @pytest.fixture(scope="module")
