@@ -69,8 +69,8 @@ def fit_pca(vectors: DataFrame, vector: str, k: int) -> PCAModel:
     return PCAModel(mean + shift, axes[:k], values[:k] / max(values.sum(), 1e-300), np.sqrt(values[:k]), int(n))
 
 
-def project(vectors: DataFrame, vector: str, model: PCAModel) -> DataFrame:
-    """``vectors`` with ``pc`` (array<float>): the centred vector along each component; null for a null vector."""
+def project(vectors: DataFrame, vector: str, model: PCAModel, kind: str = "float") -> DataFrame:
+    """``vectors`` with ``pc`` (array of ``kind``, float or double): the centred vector along each component; null for a null vector."""
     d = len(model.mean)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,10 +78,11 @@ def project(vectors: DataFrame, vector: str, model: PCAModel) -> DataFrame:
             v = batch.column(vector)
             ok = v.is_valid().to_numpy(zero_copy_only=False)
             pc = (v.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d) - model.mean) @ model.components.T
-            found = iter(pc.astype(np.float32))
-            yield batch.append_column("pc", pa.array([next(found) if o else None for o in ok], pa.list_(pa.float32())))
+            starts = np.concatenate([[0], np.cumsum(ok) * pc.shape[1]]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(pc.ravel().astype(kind.replace("float", "float32"))), mask=pa.array(~ok))
+            yield batch.append_column("pc", lists)
 
-    return vectors.mapInArrow(run, f"{', '.join(f'`{n}` {t}' for n, t in vectors.dtypes)}, pc array<float>")
+    return vectors.mapInArrow(run, f"{', '.join(f'`{n}` {t}' for n, t in vectors.dtypes)}, pc array<{kind}>")
 
 
 def report(model: PCAModel) -> list[tuple[int, float, float]]:

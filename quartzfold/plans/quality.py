@@ -92,6 +92,19 @@ SELECT line_id, 'prediction_report' AS report_name, variant_id, NULL AS pdb_path
 FROM pv WHERE line_id IN (SELECT line_id FROM good)
 UNION ALL
 SELECT line_id, 'skipped_structures', variant_id, path, NULL, NULL, reason, NULL, NULL, NULL FROM sv WHERE line_id IN (SELECT line_id FROM good)"""
+_TEST = lambda name, bad, what: f"CASE WHEN {bad} THEN ['{name}', '{what}'] END"
+_DAMAGED = _TEST("reason", _DIRTY, "holds a damaged character")
+_P1_FAULTS = f"""
+, faults AS (
+  SELECT line_id, list_filter([{_TEST('variant_id', "variant_id = ''", 'is empty')}, {_TEST('out_pdb_path', "path = ''", 'is empty')}, {_TEST('status', "status = ''", 'is empty')}, {_TEST('status', "status NOT IN ('', 'ok', 'skipped', 'failed')", 'is not valid')},
+    {_TEST('reason', "reason = '' AND status = 'failed'", 'is empty')}, {_DAMAGED}, {_TEST('status_code', "code <> '' AND NOT regexp_matches(code, '^[0-9]+$')", 'is not valid')}, {_TEST('attempts', "attempts = ''", 'is empty')},
+    {_TEST('attempts', "attempts <> '' AND NOT regexp_matches(attempts, '^[0-9]+$')", 'is not valid')}, {_TEST('elapsed_seconds', "elapsed = ''", 'is empty')},
+    {_TEST('elapsed_seconds', "elapsed <> '' AND NOT regexp_matches(elapsed, '^[0-9]+([.][0-9]+)?(e[+-]?[0-9]+)?$')", 'is not valid')}], lambda x: x IS NOT NULL) AS f FROM pv
+  UNION ALL
+  SELECT line_id, list_filter([{_TEST('variant_id', "variant_id = ''", 'is empty')}, {_TEST('pdb_path', "path = ''", 'is empty')}, {_TEST('reason', "reason = ''", 'is empty')}, {_DAMAGED}], lambda x: x IS NOT NULL) AS f FROM sv)
+SELECT line_id, report_name, CASE WHEN f IS NOT NULL THEN f[1][1] || ' ' || f[1][2] WHEN report_name IS NULL OR report_name NOT IN ('prediction_report', 'skipped_structures') THEN 'unknown report' WHEN line IS NULL THEN 'null line'
+  WHEN NOT regexp_matches(line, '^{_V}(?:,{_V})*$') THEN 'broken quoting' ELSE len(regexp_extract_all(line, '(?:^|,){_V}')) || ' fields instead of ' || CASE report_name WHEN 'prediction_report' THEN 7 ELSE 3 END END AS reject_reason,
+  list_transform(f, lambda x: x[1]) AS failing_cells FROM lines LEFT JOIN faults USING (line_id) WHERE line_id NOT IN (SELECT line_id FROM good)"""
 _PATH = lambda c: rf"regexp_replace(regexp_replace({c}, '^(?:\./)+', ''), '/(?:\.?/)+', '/', 'g')"
 
 
@@ -113,6 +126,7 @@ QUERIES = {"p1_found": p1_found, "p1_valid": p1_valid, "p1_rejected": p1_rejecte
 SQL = {
     "p1_found": _P1 + "SELECT line_id FROM raw_reports WHERE line_id NOT IN (SELECT line_id FROM good)",
     "p1_valid": _P1 + _P1_VALID,
+    "p1_rejected": _P1 + _P1_FAULTS,
     "p1_reject_counts": _P1 + "SELECT report_name, count(*) AS n_lines, count(*) FILTER (WHERE line_id NOT IN (SELECT line_id FROM good)) AS n_rejected FROM raw_reports GROUP BY report_name",
     "p2_found": f"SELECT table_name, ref_month, row_id FROM ({_P2}) x",
     "p2_missing_by_month": f"SELECT table_name, parent_table, ref_month, count(*) AS n_missing FROM ({_P2}) x GROUP BY ALL",

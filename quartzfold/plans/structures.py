@@ -9,7 +9,7 @@ from quartzfold.operators.averaging import average_clusters
 from quartzfold.operators.clustering import ClusterSpec, assignment_rows, cluster_groups, distance_summary, label_quality
 from quartzfold.operators.external import index_problems
 from quartzfold.operators.metrics import gate, mean_bfactor, residue_metrics, summary, with_group
-from quartzfold.operators.overlay import overlay, overlay_report
+from quartzfold.operators.overlay import available_scores, overlay, overlay_report, usable_scores, whole_report
 from quartzfold.operators.pca import fit_pca, project, report
 from quartzfold.operators.references import same_path
 from quartzfold.operators.rmsd import rmsd_to, single_linkage
@@ -148,7 +148,8 @@ def single_linkage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_cutoff_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster_groups(_structures(spark, sf_dir, 63), ClusterSpec())
+    found = cluster_groups(_structures(spark, sf_dir, 63), ClusterSpec())
+    return found.withColumns({"cutoff": F.round("cutoff", 6), "silhouette": F.round("silhouette", 6)})
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,10 +165,16 @@ def cluster_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return average_clusters(_members(spark, sf_dir))[1]
 
 
+def cluster_average_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centre of each mean structure: that of the member on which the others are superposed."""
+    mean = average_clusters(_members(spark, sf_dir))[0]
+    return mean.groupBy("group_id", "cluster_id").agg(F.count(F.lit(1)).alias("n_atoms"), *[F.round(F.avg(c), 6).alias(f"c{c}") for c in "xyz"])
+
+
 def kabsch_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _structures(spark, sf_dir, 63)
     first = s.groupBy("group_id").agg(F.min(F.struct("item", "coords"))["coords"].alias("coords"))
-    return rmsd_to(first, s, "group_id")
+    return rmsd_to(first, s, "group_id").withColumn("rmsd", F.round("rmsd", 6))
 
 
 def pca_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,21 +187,46 @@ def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(files, "emb_mean", fit_pca(files, "emb_mean", 5)).select("row_id", "pc")
 
 
-def _overlay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the singular values of all components add up to: the whole variance, and the squares of all covariances."""
+    m = fit_pca(table(spark, sf_dir, "embedding_files").where("size(emb_mean) = 16"), "emb_mean", 16)
+    return spark.createDataFrame([(m.n, float((m.singular**2).sum() / m.n), float((m.singular**4).sum() / m.n**2), float(m.explained.sum()))], "n bigint, variance double, covariances double, explained double").selectExpr(
+        "n", "round(variance, 6) variance", "round(covariances, 3) covariances", "round(explained, 9) explained"
+    )
+
+
+def pca_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The squared length of each vector's scores along all components: that of the centred vector."""
+    files = table(spark, sf_dir, "embedding_files").where("size(emb_mean) = 16").select("row_id", "emb_mean")
+    pc = project(files, "emb_mean", fit_pca(files, "emb_mean", 16), "double").select("row_id", "pc")
+    return pc.select("row_id", F.round(F.aggregate("pc", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared"))
+
+
+def _overlay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines of point chains, the scores of their residues (stored ones for even ids, else fresh ones; one too many for some), and the variants without component 2."""
     line = F.format_string("ATOM  %5d  CA  ALA A%4d    %8.3f%8.3f%8.3f  1.00  0.00           C", "resseq", "resseq", "x", "y", "z")
-    lines = _atoms(spark, sf_dir).select(F.col("variant_id").cast("string").alias("variant_id"), F.col("resseq").alias("line_no"), line.alias("line"))
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    pc = project(v, "embedding", fit_pca(v, "embedding", 10))
-    scores = pc.select(F.col("vec_id").cast("string").alias("variant_id"), F.posexplode("pc").alias("pos", "score"))
-    return overlay(lines, scores), scores
+    points = _atoms(spark, sf_dir).withColumns({"key": F.col("variant_id"), "variant_id": F.col("variant_id").cast("string"), "pos": (F.col("resseq") - 1).cast("int")})
+    lines = points.select("variant_id", F.col("resseq").alias("line_no"), line.alias("line"))
+    scores = points.select("variant_id", "key", "pos", "x", "y").unionByName(points.where("resseq = 21 and key % 5 = 0").select("variant_id", "key", F.lit(21).alias("pos"), "x", "y"))
+    stored = scores.where("key % 2 = 0").select("variant_id", "pos", F.when(F.col("key") % 14 == 0, F.array("x")).otherwise(F.array("x", F.col("y") * 5000)).alias("pc"))
+    fresh = scores.select("variant_id", "pos", F.array("x", F.col("y") * 50).alias("pc"))
+    both = available_scores(stored, fresh, 2)
+    return lines, both, usable_scores(both)
 
 
 def pc_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlay(spark, sf_dir)[0]
+    lines, scores, _ = _overlay(spark, sf_dir)
+    return overlay(lines, scores)
 
 
 def pc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlay_report(*_overlay(spark, sf_dir))
+    """The report of an overlay in which some structures are missing and some have a result from before."""
+    lines, scores, unusable = _overlay(spark, sf_dir)
+    selected = lines.select("variant_id").distinct()
+    there, old = lines.where("variant_id % 7 <> 3"), selected.where("variant_id % 11 = 5")
+    usable = without(without(scores, unusable, "variant_id"), old, "variant_id")
+    report = overlay_report(overlay(only(there, usable, "variant_id"), usable), only(usable, there, "variant_id"))
+    return whole_report(selected, there, old, unusable, report)
 
 
 _LATEST = lambda t, where="true": f"(SELECT * FROM {t} WHERE variant_id IS NOT NULL AND {where} QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY row_id DESC) = 1)"
@@ -206,12 +238,42 @@ _CENTRES = f"(SELECT variant_id, helix, count(*) AS n, avg(x) AS cx, avg(y) AS c
 _PAIRS = "(SELECT a.label AS g, a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(range(1, 65), lambda k: (a.embedding[k]::DOUBLE - b.embedding[k]::DOUBLE) ** 2))) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)"
 _UNION_COLUMNS = "template_id, variant_id, cluster_id, is_medoid, cutoff, silhouette, n_clusters, note"
 
+# superposed distances of pairs (g, i, j) in closed form: the singular values of a 3 x 3 matrix by the roots of a cubic
+_XYZ = [(a, b) for a in "xyz" for b in "xyz"]
+_KABSCH = lambda pairs: f"""(SELECT g, i, j, sqrt(greatest(e - 2 * (sqrt(greatest(l1, 0)) + sqrt(greatest(l2, 0)) + sign(det) * sqrt(greatest(l3, 0))), 0) / n) AS d FROM (
+SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2 * pi() / 3) AS l3, 3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2 * pi() / 3)) AS l2 FROM (
+SELECT *, CASE WHEN p = 0 THEN 0 ELSE acos(least(greatest(((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * h) + h * (d * f - (b - q) * h)) / (2 * p ** 3), -1.0), 1.0)) / 3 END AS phi FROM (
+SELECT *, (a + b + c) / 3 AS q, sqrt(((a - (a + b + c) / 3) ** 2 + (b - (a + b + c) / 3) ** 2 + (c - (a + b + c) / 3) ** 2 + 2 * (d * d + f * f + h * h)) / 6) AS p FROM (
+SELECT g, i, j, n, e, hxx * (hyy * hzz - hyz * hzy) - hxy * (hyx * hzz - hyz * hzx) + hxz * (hyx * hzy - hyy * hzx) AS det,
+  hxx * hxx + hyx * hyx + hzx * hzx AS a, hxy * hxy + hyy * hyy + hzy * hzy AS b, hxz * hxz + hyz * hyz + hzz * hzz AS c, hxx * hxy + hyx * hyy + hzx * hzy AS d, hxy * hxz + hyy * hyz + hzy * hzz AS f, hxx * hxz + hyx * hyz + hzx * hzz AS h FROM (
+SELECT k.g, k.i, k.j, count(*) AS n, sum((s.x - cs.x) ** 2 + (s.y - cs.y) ** 2 + (s.z - cs.z) ** 2 + (t.x - ct.x) ** 2 + (t.y - ct.y) ** 2 + (t.z - ct.z) ** 2) AS e,
+  {', '.join(f"sum((t.{a} - ct.{a}) * (s.{b} - cs.{b})) AS h{a}{b}" for a, b in _XYZ)}
+FROM {pairs} k JOIN pts s ON s.variant_id = k.i JOIN pts t ON t.variant_id = k.j AND t.resseq = s.resseq JOIN centres cs ON cs.variant_id = k.i JOIN centres ct ON ct.variant_id = k.j GROUP BY ALL))))))"""
+_POINTS = f"pts AS MATERIALIZED {_PTS}, centres AS MATERIALIZED (SELECT variant_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts GROUP BY variant_id)"
+_SEARCH = f"""WITH RECURSIVE {_POINTS}, half AS MATERIALIZED {_KABSCH('(SELECT a.label AS g, a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)')},
+d AS MATERIALIZED (SELECT g, i, j, d FROM half UNION ALL SELECT g, j, i, d FROM half),
+items AS MATERIALIZED (SELECT label AS g, vec_id AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+ends AS (SELECT g, quantile_cont(d, 0.05) AS lo, quantile_cont(d, 0.95) AS hi FROM half GROUP BY g), cuts AS MATERIALIZED (SELECT g, k, CASE WHEN k = 49 THEN hi ELSE lo + (hi - lo) / 49 * k END AS cut FROM ends, range(50) r(k)),
+reach(g, k, i, c) AS (SELECT items.g, k, i, i FROM items JOIN cuts USING (g) UNION SELECT r.g, r.k, d.j, r.c FROM reach r JOIN cuts USING (g, k) JOIN d ON d.g = r.g AND d.i = r.i AND d.d <= cut AND d.j > r.c),
+heads AS MATERIALIZED (SELECT g, k, i, min(c) AS c FROM reach GROUP BY ALL), sizes AS MATERIALIZED (SELECT g, k, c, count(*) AS size FROM heads GROUP BY ALL),
+fit AS MATERIALIZED (SELECT g, k, count(*) AS n_clusters FROM sizes GROUP BY ALL HAVING count(*) BETWEEN 2 AND 20 AND count(*) <= sum(size) - 1),
+sums AS (SELECT a.g, a.k, a.i, a.c, b.c AS far, sum(d) AS s FROM fit JOIN heads a USING (g, k) JOIN heads b USING (g, k) JOIN d ON d.g = a.g AND d.i = a.i AND d.j = b.i GROUP BY ALL),
+ab AS (SELECT sums.g, sums.k, i, max(CASE WHEN sums.c = far THEN s / greatest(size - 1, 1) END) AS a, min(CASE WHEN sums.c <> far THEN s / size END) AS b FROM sums JOIN sizes ON sizes.g = sums.g AND sizes.k = sums.k AND sizes.c = far GROUP BY ALL),
+sil AS (SELECT g, k, avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS s FROM ab GROUP BY ALL),
+best AS MATERIALIZED (SELECT g, coalesce(arg_max(k, (round(s, 10), -k)), 49) AS k, max(s) AS s FROM (SELECT g FROM ends) LEFT JOIN sil USING (g) GROUP BY g),
+chosen AS MATERIALIZED (SELECT g, k, i, c, dense_rank() OVER (PARTITION BY g ORDER BY c)::INT AS cluster_id FROM heads JOIN best USING (g, k)),
+own AS (SELECT a.g, a.i, a.cluster_id, sum(CASE WHEN a.i = b.i THEN 0 ELSE d END) AS s FROM chosen a JOIN chosen b ON a.g = b.g AND a.c = b.c LEFT JOIN d ON d.g = a.g AND d.i = a.i AND d.j = b.i GROUP BY ALL),
+named AS (SELECT *, row_number() OVER (PARTITION BY g, cluster_id ORDER BY round(s, 9), i) = 1 AS is_medoid FROM own)
+"""
+_SCORES = f"(SELECT p.*, variant_id % 14 = 0 AS bad, CASE WHEN variant_id % 2 = 0 THEN y * 5000 ELSE y * 50 END AS s FROM {_PTS} p)"
+_LINES = f"""(SELECT *, printf('ATOM  %5d  CA  ALA A%4d    %8.3f%8.3f%8.3f  1.00  0.00           C', resseq, resseq, x, y, z) AS line, CASE WHEN NOT bad AND length(printf('%6.2f', s)) = 6 THEN printf('%6.2f', s) END AS text FROM {_SCORES})"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         rasa_gate, variant_group, template_summary, status_rollup, latest_predictions, failed_ids, ids_kept, skip_existing, assignment_union, connectivity_kept, top_k_per_cluster, sample_k_per_cluster,
         limit_in_order, residue_running_total, record_numbering, embed_index_check, helix_centres, topology_cosine, chain_metrics, rmsd_quantiles, cluster_medoids, single_linkage_clusters, cluster_cutoff_search,
-        cluster_average, cluster_manifest, kabsch_rmsd, pca_explained, pca_scores, pc_overlay, pc_report,
+        cluster_average, cluster_average_centres, cluster_manifest, kabsch_rmsd, pca_explained, pca_scores, pca_variance, pca_lengths, pc_overlay, pc_report,
     )
 }
 SQL = {
@@ -259,6 +321,21 @@ b AS (SELECT m.g, m.i, min(s / size) AS b FROM m JOIN n ON m.g = n.g AND m.lj =
 sil AS (SELECT own.g, avg(CASE WHEN greatest(s / (size - 1), b) = 0 THEN 0 ELSE (b - s / (size - 1)) / greatest(s / (size - 1), b) END) AS silhouette FROM own JOIN b USING (g, i) GROUP BY own.g),
 med AS (SELECT g, l, i FROM own QUALIFY row_number() OVER (PARTITION BY g, l ORDER BY round(s, 9), i) = 1)
 SELECT med.g AS group_id, med.l AS label, n.size, med.i AS medoid, round(silhouette, 6) AS silhouette FROM med JOIN n ON med.g = n.g AND med.l = n.l JOIN sil ON sil.g = med.g""",
+    "kabsch_rmsd": f"""WITH {_POINTS} SELECT g AS group_id, j AS item, round(d, 6) AS rmsd FROM {_KABSCH('(SELECT label AS g, min(vec_id) OVER (PARTITION BY label) AS i, vec_id AS j FROM embeddings)')}""",
+    # all pairs of a group, all cutoffs: fit for small tables only
+    "cluster_cutoff_search": f"""{_SEARCH} SELECT n.g AS group_id, n.i AS item, cluster_id, is_medoid, round(cut, 6) AS cutoff, round(best.s, 6) AS silhouette, max(cluster_id) OVER (PARTITION BY n.g) AS n_clusters, '' AS note
+FROM named n JOIN best ON best.g = n.g JOIN cuts ON cuts.g = n.g AND cuts.k = best.k""",
+    "cluster_manifest": f"""{_SEARCH} SELECT g AS group_id, cluster_id, max(CASE WHEN is_medoid THEN i END) AS reference, count(*) AS n_total, count(*) AS n_used, 0::BIGINT AS n_skipped, []::BIGINT[] AS skipped FROM named GROUP BY g, cluster_id""",
+    "cluster_average_centres": f"""{_SEARCH} SELECT g AS group_id, cluster_id, 21::BIGINT AS n_atoms, round(x, 6) AS cx, round(y, 6) AS cy, round(z, 6) AS cz FROM named JOIN centres ON centres.variant_id = i WHERE is_medoid""",
+    "pca_variance": """WITH v AS (SELECT emb_mean::DOUBLE[] AS v FROM embedding_files WHERE len(emb_mean) = 16 AND len(list_filter(emb_mean, lambda x: x IS NOT NULL AND isfinite(x))) = 16),
+c AS (SELECT i, j, covar_pop(v[i], v[j]) AS c FROM v, range(1, 17) a(i), range(1, 17) b(j) GROUP BY ALL)
+SELECT (SELECT count(*) FROM v) AS n, round(sum(CASE WHEN i = j THEN c END), 6) AS variance, round(sum(c * c), 3) AS covariances, 1.0 AS explained FROM c""",
+    "pca_lengths": """WITH u AS (SELECT row_id, emb_mean::DOUBLE[] AS v FROM embedding_files WHERE len(emb_mean) = 16), ok AS (SELECT * FROM u WHERE len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 16),
+m AS (SELECT i, avg(v[i]) AS m FROM ok, range(1, 17) a(i) GROUP BY i) SELECT row_id, round(sum((v[i] - m) ** 2), 6) AS squared FROM u, m GROUP BY row_id""",
+    "pc_overlay": f"""SELECT variant_id::VARCHAR AS variant_id, resseq::INT AS line_no, CASE WHEN text IS NULL THEN line ELSE substr(line, 1, 60) || text || substr(line, 67) END AS line, text IS NOT NULL AS written, NOT bad AND text IS NULL AS overflow FROM {_LINES}""",
+    "pc_report": f"""WITH r AS (SELECT variant_id AS v, count(text) AS w, 21 + (variant_id % 5 = 0)::INT AS n, 21 - count(text) AS o, bool_or(bad) AS bad FROM {_LINES} GROUP BY variant_id)
+SELECT v::VARCHAR AS variant_id, v % 7 <> 3 AND (v % 11 = 5 OR NOT bad) AS ok, CASE WHEN v % 7 = 3 THEN 'missing_pdb' WHEN v % 11 = 5 THEN 'skipped_exists' WHEN bad THEN 'pc_scores_shape_mismatch' WHEN o > 0 THEN 'bfactor_overflow: ' || o || ' values'
+WHEN w < n THEN 'pc_longer_than_ca: wrote ' || w || ' CA values, had ' || n END AS reason, CASE WHEN v % 7 = 3 OR v % 11 = 5 OR bad THEN 0 ELSE w END AS n_ca_written, CASE WHEN v % 7 = 3 OR v % 11 = 5 OR bad THEN 0 ELSE n END::BIGINT AS n_pc_available FROM r""",
     "single_linkage_clusters": f"""WITH RECURSIVE e AS (SELECT g, i, j FROM {_PAIRS} WHERE d <= 1.2), r(g, item, c) AS (SELECT label, vec_id, vec_id FROM embeddings UNION SELECT e.g, e.j, r.c FROM r JOIN e ON r.g = e.g AND r.item = e.i)
 SELECT g AS group_id, item, min(c) AS cluster FROM r GROUP BY g, item""",
 }

@@ -21,8 +21,8 @@ def plain(v):
 
 def same(df, con, sql):
     columns = sorted(df.columns)
-    got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     found = con.sql(sql)
     at = [found.columns.index(c) for c in columns]
     assert sorted(found.columns) == columns
-    assert got == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
+    assert got == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=repr)
