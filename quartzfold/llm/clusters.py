@@ -187,7 +187,7 @@ def _across(shared: DataFrame, banded: DataFrame, merged: DataFrame, nodes: Data
     """Links between chunk components that share a bucket and are still apart: all their members are held against each other.
 
     Only components whose balls (centre, reach) come near enough, and of these only members near enough to the other's
-    ball, can hold an alike pair; so nothing is left out.
+    ball, in neighbouring slabs between the two, can hold an alike pair; so nothing is left out.
     """
     dims = range(how.dim)
     apart = shared.select("key", "root").join(merged, "root", "left").withColumn("component", F.coalesce("component", "root")).select("key", "root", "component")
@@ -204,10 +204,16 @@ def _across(shared: DataFrame, banded: DataFrame, merged: DataFrame, nodes: Data
         return banded.where("false").select("a", "b", F.col("a").alias("p"), F.col("b").alias("q"))
     touched = close.select(F.col("p").alias("root")).unionByName(close.select(F.col("q").alias("root"))).distinct()
     inside = banded.where("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("root")).join(touched, "root")
-    inside = cut(inside.join(nodes.select("node", "vector"), "node"))
-    member = lambda r, c, reach: close.join(inside.select(F.col("root").alias(r), "node", "vector"), r).where(by(F.col("vector"), F.col(c)) <= F.col(reach) + slack).select("p", "q", "node")
-    pairs = member("p", "cq", "rq").withColumnRenamed("node", "a").join(member("q", "cp", "rp").withColumnRenamed("node", "b"), ["p", "q"])
-    return _verified(pairs, inside, how).select("a", "b", "p", "q")
+    # equal vectors of a component are one member
+    inside = cut(inside.join(nodes.select("node", "vector"), "node").groupBy("root", "vector").agg(F.min("node").alias("node")))
+    # along the line between two centres alike members are no further apart than the radius, so only neighbouring slabs pair
+    length = F.greatest(by(F.col("cp"), F.col("cq")), F.lit(1e-9))
+    along = sum(((F.col("vector")[i] - F.col("cp")[i]) * (F.col("cq")[i] - F.col("cp")[i]) for i in dims), F.lit(0.0)) / length
+    slab = F.floor(along / (how.radius * (1 + 1e-6))).alias("slab")
+    member = lambda r, c, reach: close.join(inside.select(F.col("root").alias(r), "node", "vector"), r).where(by(F.col("vector"), F.col(c)) <= F.col(reach) + slack).select("p", "q", slab, "node")
+    left = member("p", "cq", "rq").withColumnRenamed("node", "a").withColumn("slab", F.explode(F.array(*[F.col("slab") + k for k in (-1, 0, 1)])))
+    pairs = left.join(member("q", "cp", "rp").withColumnRenamed("node", "b"), ["p", "q", "slab"])
+    return _verified(pairs.select("a", "b", "p", "q"), inside, how).select("a", "b", "p", "q")
 
 
 def similar_groups(nodes: DataFrame, how: Alike = Alike()) -> tuple[DataFrame, DataFrame]:

@@ -34,8 +34,9 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[Slots], int]:
     """Slots for all items of the given counts by length (from 1 to ``capacity``), and the number of containers.
 
     Containers alike are planned at once: the longest length left opens one, then the room takes as many as it can of
-    the longest length that fits, and so on. The same filling is repeated while the counts last, so there are few more
-    plans than different lengths.
+    the longest length that fits, that is the one that leaves the least room, and so on. One container is open at a time,
+    and the longest items come first, so this fills as best fit over the sorted lengths does. The same filling is
+    repeated while the counts last, so there are few more plans than different lengths.
     """
     left = {n: c for n, c in counts.items() if c > 0}
     if any(not 0 < n <= capacity for n in left):
@@ -127,10 +128,11 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str) -> DataFrame:
 
 def filling(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per container kind: items or pieces, containers, tokens, the fullest container and the share of room used."""
+    kinds = containers.where("container_kind is not null and capacity_tokens > 0").groupBy("container_kind").agg(F.min("capacity_tokens").alias("capacity_tokens"))  # as in ``pieces``
     each = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("items"))
     return (
         each.groupBy("container_kind")
         .agg(F.sum("items").alias("n_items"), F.count(F.lit(1)).alias("n_containers"), F.sum("tokens").alias("n_tokens"), F.max("tokens").alias("max_tokens"))
-        .join(F.broadcast(containers.select("container_kind", "capacity_tokens").distinct()), "container_kind")
+        .join(F.broadcast(kinds), "container_kind")
         .withColumn("filled", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
     )

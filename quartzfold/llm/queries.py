@@ -74,6 +74,11 @@ def p4_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("spec_id").agg(F.sum("n").alias("n_variants"), F.count_distinct("template_id").alias("n_templates"), F.count(F.lit(1)).alias("n_clusters"), F.max("n").alias("most_in_cluster"))
 
 
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants in each subset."""
+    return _selected(spark, sf_dir).groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_variants"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The members of each cluster of alike vectors but the first, with the first."""
     nodes = cut(embedded_variants(spark, sf_dir))
@@ -91,9 +96,12 @@ def p5_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size and the three most typical members of every cluster."""
+    """The size and the three most typical members of every cluster, or of every part of a loose one."""
     nodes = cut(embedded_variants(spark, sf_dir))
-    return typical(similar_groups(nodes)[0], nodes).select(F.col("cluster").alias("label"), "size", "typical")
+    parts = cut(loose_parts(*similar_groups(nodes), nodes))
+    whole = parts.groupBy("part").agg(F.min("cluster").alias("label"))
+    best = typical(parts.select("node", "name", F.col("part").alias("cluster")), nodes)
+    return best.join(whole, F.col("cluster") == F.col("part")).select("label", F.col("part").alias("part_label"), "size", "typical")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,25 +139,47 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subject_shares(_subjects(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_subsets": p4_subsets, "p4_sizes": p4_sizes, "p5_found": p5_found, "p5_labels": p5_labels, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_filling": p7_filling, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p3_found": p3_found, "p4_subsets": p4_subsets, "p4_sizes": p4_sizes, "p4_counts": p4_counts, "p5_found": p5_found, "p5_labels": p5_labels, "p5_clusters": p5_clusters, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_filling": p7_filling, "p8_found": p8_found, "p8_shares": p8_shares}
 _PATH = r"regexp_replace(regexp_replace(embedding_path, '^(?:\./)+', ''), '/(?:\.?/)+', '/', 'g')"
+_FILES = f"""SELECT DISTINCT {_PATH} AS path, emb_mean::DOUBLE[] AS v FROM embedding_files
+  WHERE len(emb_mean) = 16 AND len(list_filter(emb_mean, lambda x: x IS NOT NULL AND isfinite(x))) = 16 AND len(list_filter(emb_mean, lambda x: x <> 0)) > 0"""
+_NEAR = f"""
+WITH RECURSIVE files AS ({_FILES}), one AS (SELECT path, min(v) AS v FROM files GROUP BY path),
+nodes AS MATERIALIZED (SELECT variant_id, min(row_id) AS node, arg_min(v, row_id)::DOUBLE[16] AS v FROM embeddings_index JOIN one ON path = {_PATH}
+  WHERE status IN ('ok', 'skipped') AND variant_id IS NOT NULL GROUP BY variant_id),
+near AS MATERIALIZED (SELECT x.node AS a, y.node AS b FROM nodes x, nodes y WHERE array_distance(x.v, y.v) <= 1.0),
+least AS (SELECT a, min(b) AS b FROM near GROUP BY a),
+links AS MATERIALIZED (SELECT DISTINCT l.b AS a, m.b AS b FROM near JOIN least l ON l.a = near.a JOIN least m ON m.a = near.b),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+heads AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+labelled AS MATERIALIZED (SELECT node, variant_id, heads.b AS cluster FROM nodes JOIN least ON least.a = node JOIN heads ON heads.a = least.b)"""
+# a cluster is loose if a member is further than the radius from its mean; its members follow the one with the most alike ones
+_PARTS = """, centre AS (SELECT cluster, i, avg(v[i]) AS m FROM labelled JOIN nodes USING (node), range(1, 17) d(i) GROUP BY ALL),
+loose AS (SELECT DISTINCT cluster FROM (SELECT cluster, node, sqrt(sum((v[i] - m) ** 2)) AS o FROM labelled JOIN nodes USING (node) JOIN centre USING (cluster) GROUP BY ALL) WHERE o > 1.0),
+degree AS (SELECT a, count(*) AS n FROM near GROUP BY a),
+follows AS (SELECT near.a AS node, near.b AS medoid FROM near JOIN degree ON degree.a = near.b QUALIFY row_number() OVER (PARTITION BY near.a ORDER BY n DESC, near.b) = 1),
+parts AS MATERIALIZED (SELECT node, labelled.variant_id, cluster, CASE WHEN cluster IN (SELECT cluster FROM loose) THEN medoid ELSE cluster END AS part FROM labelled JOIN follows USING (node))"""
 SQL = {
     "p3_found": """
 WITH latest AS (SELECT variant_id, mean_hydrophobic_rasa AS v FROM structural_metrics QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY row_id DESC) = 1),
 pairs AS (SELECT DISTINCT template_id, variant_id FROM cluster_assignments WHERE template_id IS NOT NULL AND variant_id IS NOT NULL)
 SELECT template_id, variant_id FROM pairs JOIN latest USING (variant_id) WHERE v IS NOT NULL AND NOT isnan(v) AND v BETWEEN 0 AND 1
 QUALIFY row_number() OVER (PARTITION BY template_id ORDER BY v, variant_id) <= 5""",
+    # what is asked for, or all that the limit per cluster leaves
+    "p4_counts": f"""
+WITH files AS ({_FILES}), one AS (SELECT path, min(v) AS v FROM files GROUP BY path),
+embedded AS (SELECT DISTINCT variant_id FROM embeddings_index JOIN one ON path = {_PATH} WHERE status IN ('ok', 'skipped') AND variant_id IS NOT NULL),
+latest AS (SELECT variant_id, template_id, cluster_id FROM cluster_assignments WHERE variant_id IS NOT NULL AND template_id IS NOT NULL AND cluster_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY row_id DESC) = 1),
+sized AS (SELECT template_id, cluster_id, count(*) AS n FROM latest SEMI JOIN embedded USING (variant_id) GROUP BY ALL),
+room AS (SELECT spec_id, sum(least(n, k_per_cluster)) AS room, any_value(coalesce(subset_size, floor(subset_share * (SELECT sum(n) FROM sized) + 0.5), (SELECT sum(n) FROM sized))) AS wanted
+  FROM selection_specs, sized WHERE selection_mode = 'cluster_sample_k' AND k_per_cluster > 0 GROUP BY spec_id)
+SELECT spec_id, least(room, wanted)::BIGINT AS n_variants FROM room WHERE least(room, wanted) > 0""",
     # all pairs by distance, then the least member that links lead to; fit for small tables only
-    "p5_found": f"""
-WITH RECURSIVE files AS (SELECT DISTINCT {_PATH} AS path, emb_mean::DOUBLE[] AS v FROM embedding_files
-  WHERE len(emb_mean) = 16 AND len(list_filter(emb_mean, lambda x: x IS NOT NULL AND isfinite(x))) = 16 AND len(list_filter(emb_mean, lambda x: x <> 0)) > 0),
-one AS (SELECT path, min(v) AS v FROM files GROUP BY path),
-nodes AS (SELECT variant_id AS a, arg_min(v, row_id)::DOUBLE[16] AS v FROM embeddings_index JOIN one ON path = {_PATH}
-  WHERE status IN ('ok', 'skipped') AND variant_id IS NOT NULL GROUP BY variant_id),
-near AS MATERIALIZED (SELECT x.a AS a, y.a AS b FROM nodes x, nodes y WHERE array_distance(x.v, y.v) <= 1.0),
-least AS (SELECT a, min(b) AS b FROM near GROUP BY a),
-links AS MATERIALIZED (SELECT DISTINCT l.b AS a, m.b AS b FROM near JOIN least l ON l.a = near.a JOIN least m ON m.a = near.b),
-reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
-first AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
-SELECT first.b AS first_variant_id, least.a AS variant_id FROM least JOIN first ON first.a = least.b WHERE least.a <> first.b""",
+    "p5_found": f"""{_NEAR}, name AS (SELECT cluster, min(variant_id) AS first FROM labelled GROUP BY cluster)
+SELECT first AS first_variant_id, variant_id FROM labelled JOIN name USING (cluster) WHERE variant_id <> first""",
+    "p5_labels": f"{_NEAR}{_PARTS} SELECT variant_id, cluster AS label, part AS part_label FROM parts",
+    "p5_clusters": f"""{_NEAR}{_PARTS}, mean AS (SELECT part, i, avg(v[i]) AS m FROM parts JOIN nodes USING (node), range(1, 17) d(i) GROUP BY ALL),
+off AS (SELECT part, parts.variant_id, round(sqrt(sum((v[i] - m) ** 2)), 9) AS o FROM parts JOIN nodes USING (node) JOIN mean USING (part) GROUP BY ALL),
+best AS (SELECT part, list(variant_id ORDER BY o, variant_id)[1:3] AS typical FROM off GROUP BY part)
+SELECT min(cluster) AS label, part AS part_label, count(*) AS size, any_value(typical) AS typical FROM parts JOIN best USING (part) GROUP BY part""",
 }

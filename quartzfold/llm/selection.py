@@ -115,8 +115,16 @@ def varied_subset(items: DataFrame, specs: DataFrame, dim: int, bits: int = BITS
     turn = Window.partitionBy("spec_id", "group").orderBy("place", "stretch", "item")
     kept = best.withColumn("turn", F.row_number().over(turn)).join(F.broadcast(small), "spec_id").where("turn <= k")
     kept = cut(kept.select("spec_id", "item", "score", "seed", "draw", "wanted").join(keyed.select("item", "key"), "item"))
-    counts = kept.groupBy("spec_id").agg(*[F.approx_count_distinct(F.expr(f"substring(key, 1, {width * n})"), 0.02).alias(f"n{n}") for n in range(1, bits + 1)]).collect()
-    level = {r["spec_id"]: next((n for n in range(1, bits + 1) if r[f"n{n}"] >= 1.1 * wanted[r["spec_id"]]), bits) for r in counts}
+    # distinct cells of each level from those of the next finer one
+    found, finer = None, kept.select("spec_id", F.col("key").alias("cell"))
+    for n in range(bits, 0, -1):
+        finer = finer.select("spec_id", F.col("cell").substr(F.lit(1), F.lit(width * n)).alias("cell")).distinct()
+        counted = finer.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.lit(n))
+        found = counted if found is None else found.unionByName(counted)
+    counts: dict[int, dict[int, int]] = {}
+    for r in found.collect():  # a row per spec and level
+        counts.setdefault(r["spec_id"], {})[r["level"]] = r["n"]
+    level = {s: next((n for n in range(1, bits + 1) if c[n] >= wanted[s]), bits) for s, c in counts.items()}
     bytes_of = F.coalesce(*[F.when(F.col("spec_id") == s, F.lit(width * n)) for s, n in level.items()]) if level else F.lit(width)
     cells = kept.withColumn("cell", F.col("key").substr(F.lit(1), bytes_of))
     in_cell = ranked_in_order(cells, ["spec_id", "cell"], [F.col("score"), F.col("item")], "round")

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from quartzfold.llm.queries import choosable_variants
 from quartzfold.llm.selection import hilbert, varied_subset
 
 SPECS = "spec_id int, selection_mode string, k_per_cluster int, seed int, draw_sample boolean, subset_size int, subset_share double"
@@ -41,6 +42,24 @@ def test_sizes_limits_and_crowds(spark):
     assert sorted(tuple(r) for r in again.collect()) == sorted(chosen)
 
 
+def test_covers_more_than_chance(spark):
+    """On the real vectors: how near the nearest chosen one is to each variant, against random subsets of the same size and limit."""
+    items = choosable_variants(spark, "/root/testdata/sf0.01").select("item", "group", "preferred", "vector").toPandas().sort_values("item")
+    x = np.stack(items.vector)
+    specs = spark.createDataFrame([(1, "m", 1000, 0, False, 150, None)], SPECS)
+    rows = spark.createDataFrame([(int(r.item), int(r.group), bool(r.preferred), [float(v) for v in r.vector], "") for r in items.itertuples()], ITEMS)
+    chosen = np.isin(items.item, [r["item"] for r in varied_subset(rows, specs, 16).collect()])
+
+    def off(at):
+        return np.concatenate([np.sqrt(((x[i : i + 500, None] - x[at][None]) ** 2).sum(axis=2)).min(axis=1) for i in range(0, len(x), 500)])
+
+    draw = np.random.default_rng(0)
+    others = [off(draw.choice(len(x), 150, replace=False)) for _ in range(5)]
+    own = off(np.flatnonzero(chosen))
+    assert chosen.sum() == 150 and own.mean() < min(o.mean() for o in others)
+    print("mean distance to the nearest chosen", own.mean(), "by chance", np.mean([o.mean() for o in others]))
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], ITEMS)
     assert varied_subset(none, spark.createDataFrame([(1, "m", 1, 0, False, 5, None)], SPECS), 16).count() == 0
