@@ -70,8 +70,8 @@ def top_n(df: DataFrame, group: list[str], score: str, item: str, n: int, held_r
     columns = [*group, item]
     rows = df.select(*columns, F.col(score).cast("double").alias(score)).na.drop().where(~F.isnan(score))
     heaps = rows.mapInArrow(_partial(group, score, item, n, held_rows), rows.schema)
-    # an item that two tasks kept, at perhaps different scores, counts once
-    once = heaps.groupBy(*columns).agg(F.min(score).alias(score))
+    # one shuffle by group serves both: an item that two tasks kept, at perhaps different scores, counts once; then the places
+    once = heaps.repartition(*group).groupBy(*columns).agg(F.min(score).alias(score))
     order = Window.partitionBy(*group).orderBy(score, item)
     return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
