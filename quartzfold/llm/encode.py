@@ -13,6 +13,7 @@ import base64
 import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -137,8 +138,15 @@ def encode_corpus(df: DataFrame, key: str, text: str, ranks: str, block: int = B
 
     def put_together(parts: pa.Table) -> pa.Table:
         parts = parts.sort_by("_place")
-        ids = concatenate(list(zip(parts["_ids"].to_pylist(), parts["_joined"].to_pylist(), strict=True)), tokenizer(ranks))
-        return pa.table({"_key": parts["_key"].slice(0, 1), out.split()[0]: pa.array([len(ids)], pa.int32()) if count_only else _lists([ids])})
+        ids = parts["_ids"].combine_chunks()
+        starts = np.flatnonzero(~parts["_joined"].to_numpy())
+        runs = []  # only blocks that must be joined leave their Arrow arrays
+        for a, b in zip(starts, [*starts[1:], len(ids)]):
+            run = ids.slice(a, b - a)
+            runs.append(run.flatten() if b == a + 1 else pa.array(concatenate([(x, i > 0) for i, x in enumerate(run.to_pylist())], tokenizer(ranks)), pa.int32()))
+        whole = pa.concat_arrays(runs)
+        value = pa.array([len(whole)], pa.int32()) if count_only else pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
+        return pa.table({"_key": parts["_key"].slice(0, 1), out.split()[0]: value})
 
     part = f"_row bigint, _key {kind}, _place int, _joined boolean"
     cut_rows = rows.where(long).select(F.monotonically_increasing_id().alias("_row"), "_key", "_text").mapInArrow(cut_up, f"{part}, _text string")
