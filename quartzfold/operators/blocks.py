@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzfold.operators.rmsd import block_pairs, distances
-from quartzfold.session import cut
+from quartzfold.session import cut, discard
 
 BLOCK = 512
 SHIFTS = (44, 26, 8, 0)  # leading bits of a distance, as a double, that each pass tells apart
@@ -144,12 +144,14 @@ def merges_of(structures: DataFrame, linkage: str, superposed: bool) -> DataFram
         near = both.groupBy("group_id", "a").agg(F.min(F.struct("d", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))).alias("m"))
         merged = cut(near.groupBy("group_id", F.col("m.lo").alias("a"), F.col("m.hi").alias("b")).agg(F.max("m.d").alias("d"), F.count(F.lit(1)).alias("n")).where("n = 2").select(columns))
         found.append(merged)
+        last = pairs
         head = merged.select("group_id", F.col("b").alias("gone"), F.col("a").alias("kept"))
         for end in ("a", "b"):
             to = head.withColumnsRenamed({"gone": end})
             pairs = pairs.join(to, ["group_id", end], "left").withColumn(end, F.coalesce("kept", end)).drop("kept")
         joined = pairs.where("a <> b").groupBy("group_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("d").alias("most"), F.sum("s").alias("s"), F.sum("n").alias("n"))
         pairs = cut(joined.select("group_id", "a", "b", (F.col("most") if linkage == "complete" else F.col("s") / F.col("n")).alias("d"), "s", "n"))
+        discard(last)
     out = structures.select("group_id", F.col("item").alias("a"), F.col("item").alias("b"), F.lit(0.0).alias("d")).where("false")
     for merged in found:
         out = out.unionByName(merged)

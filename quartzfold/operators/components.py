@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzfold.session import cut
+from quartzfold.session import cut, discard
 
 
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node`` and ``component`` (its least node) for every node with an edge to another one.
 
     ``edges``: a, b (bigint). Null ends and loops are left out, repeated edges count once. Each round is written to the
-    shared folder; a graph of n nodes needs about log(n) of them.
+    shared folder, and the one before deleted; a graph of n nodes needs about log(n) of them.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).alias("_ok"))
     edges = cut(edges.where("_ok").drop("_ok").distinct())
@@ -37,5 +37,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = now
-        edges = cut(_stars(_stars(edges, True), False))
+        last, edges = edges, cut(_stars(_stars(edges, True), False))
+        discard(last)
     raise RuntimeError(f"components not found in {most_rounds} rounds")

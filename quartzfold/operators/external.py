@@ -27,6 +27,8 @@ class RetrySpec:
     seed: int = 0
 
 
+# The words for status and reason, and the limits and pauses above.
+
 #: A client takes a sequence and returns (HTTP status or 0 for a network error, body, seconds to wait or None).
 Client = Callable[[str], tuple[int, str, float | None]]
 

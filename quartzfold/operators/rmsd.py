@@ -34,7 +34,27 @@ def distances(points: np.ndarray, others: np.ndarray, superposed: bool) -> np.nd
         step = max(1, 2**22 // max(1, others.size))  # bounds the differences held at once
         return np.concatenate([np.sqrt(((points[i : i + step, None] - others[None]) ** 2).sum(axis=2)) for i in range(0, len(points), step)])
     x, y = points.reshape(len(points), -1, 3), others.reshape(len(others), -1, 3)
-    return np.stack([rmsd(np.broadcast_to(a, y.shape), y) for a in x])
+    step = max(1, 2**18 // max(1, len(y)))  # bounds the 3 x 3 matrices held at once
+    return np.concatenate([_superposed(x[i : i + step], y) for i in range(0, len(x), step)])
+
+
+def _superposed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All superposed distances of two blocks from the singular values of their products, without turning any structure.
+
+    Nearly equal structures would lose digits that way, so their distances are computed on the turned ones.
+    """
+    x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
+    h = np.tensordot(x, y, axes=(1, 1)).transpose(0, 2, 1, 3)
+    s = np.linalg.svd(h, compute_uv=False)
+    s[..., 2] *= np.where(np.linalg.det(h) < 0, -1, 1)
+    whole = (x**2).sum(axis=(1, 2))[:, None] + (y**2).sum(axis=(1, 2))
+    square = np.maximum(whole - 2 * s.sum(axis=2), 0)
+    out = np.sqrt(square / x.shape[1])
+    i, j = np.nonzero(square < 1e-5 * whole)
+    for at in range(0, len(i), 4096):
+        k = slice(at, at + 4096)
+        out[i[k], j[k]] = rmsd(x[i[k]], y[j[k]])
+    return out
 
 
 def block_pairs(structures: DataFrame, block: int) -> DataFrame:

@@ -60,7 +60,15 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_cuts(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.cut_path = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``cut`` made and nothing reads any more."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

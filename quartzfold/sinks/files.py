@@ -27,6 +27,13 @@ def write_fasta(records: DataFrame, path: str, order: str = "rec_no", upper: boo
         records.repartitionByRange(by, order).sortWithinPartitions(by, order).select(by, text).write.mode("overwrite").partitionBy(by).text(path)
 
 
+def write_token_fasta(records: DataFrame, path: str, original: bool = False, by: str | None = None) -> None:
+    """Write token records (rec_no, id, description, seq, tokens) with their tokens as they are; with ``original`` the header names the sequence (``orig=``)."""
+    said = F.concat_ws(" ", F.when(F.col("description") != "", F.col("description")), F.concat(F.lit("orig="), "seq")) if original else F.col("description")
+    others = [by] if by else []
+    write_fasta(records.select("rec_no", "id", said.alias("description"), F.col("tokens").alias("seq"), *others), path, upper=False, by=by)
+
+
 def with_skipped(variants: DataFrame, skipped: DataFrame) -> DataFrame:
     """Variants (rec_no, id, description, seq) and after them the skipped templates, marked ``*`` with their reason."""
     marked = skipped.select("rec_no", F.concat(F.lit("*"), "id").alias("id"), F.concat(F.lit("skipped_reason="), "reason").alias("description"), F.coalesce("seq", F.lit("")).alias("seq"))

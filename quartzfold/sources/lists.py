@@ -12,14 +12,32 @@ from quartzfold.operators.library import LibrarySpec
 from quartzfold.sources.lines import numbered_pieces
 
 
-def load_library_spec(path: str) -> LibrarySpec:
-    """A library's settings from a YAML file (read on the driver)."""
+def _first(block: dict, names: tuple[str, ...], default: int) -> tuple[str, int]:
+    """The first of several names for a setting that a block has, with its value."""
+    name = next((n for n in names if n in block), names[0])
+    return name, int(block.get(name, default))
+
+
+def _settings(path: str) -> dict:
     import yaml
 
-    data = yaml.safe_load(Path(path).read_text()) or {}
+    return yaml.safe_load(Path(path).read_text()) or {}
+
+
+def load_library_spec(path: str) -> LibrarySpec:
+    """A library's settings from a YAML file (read on the driver); ValueError names a number that must be positive."""
+    data = _settings(path)
     made, pools = data.get("randomization") or {}, data.get("replacement_pools") or {}
-    number = made.get("num_variants_per_input", made.get("num_variants_per_template", 100))
-    return LibrarySpec(tuple(pools.get("hydrophobic") or ()), tuple(pools.get("polar") or ()), int(number), int(made.get("rng_seed", made.get("seed", 42))))
+    name, number = _first(made, ("num_variants_per_input", "num_variants_per_template"), 100)
+    if number < 1:
+        raise ValueError(f"randomization.{name} must be positive")
+    return LibrarySpec(tuple(pools.get("hydrophobic") or ()), tuple(pools.get("polar") or ()), number, _first(made, ("rng_seed", "seed"), 42)[1])
+
+
+def load_output_names(path: str) -> tuple[str, str]:
+    """The names of a library's sequences and of its metadata from the same file, without suffixes."""
+    named = _settings(path).get("outputs") or {}
+    return tuple(Path(named.get(k) or default).stem for k, default in (("variants_fasta_name", "variants_fasta"), ("metadata_table_name", "metadata")))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

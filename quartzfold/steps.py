@@ -27,20 +27,23 @@ from quartzfold.operators.topology import bundle_topology, connectivity_filter,
 from quartzfold.session import cut, drop_cuts, exists, ship
 from quartzfold.sinks.files import append_index, with_skipped, write_csv, write_fasta, write_ids, write_structures
 from quartzfold.sources.fasta import read_fasta
-from quartzfold.sources.lists import load_library_spec, read_csv, read_ids, read_positions
+from quartzfold.sources.lists import load_library_spec, load_output_names, read_csv, read_ids, read_positions
 from quartzfold.sources.structures import alpha_coordinates, atom_names, atoms, backbone, one_location, read_lines, read_vectors, residues
 
 
-def library(spark: SparkSession, fasta: str, config: str, out: str, token: bool = False) -> None:
-    """Variants and metadata of the templates in ``fasta``; template ids must be unique among the valid ones."""
-    spec = load_library_spec(config)
+def library(spark: SparkSession, fasta: str, config: str, out: str, token: bool = False, by_template: bool = False) -> None:
+    """Variants and metadata of the templates in ``fasta``, and with ``by_template`` a folder of variants for each; template ids must be unique among the valid ones."""
+    spec, (sequences, metadata) = load_library_spec(config), load_output_names(config)
     records = read_fasta(spark, fasta, keep_case=token)
     variants, skipped = build_library(spec, **{"token" if token else "natural": records})
     require_unique(records.join(skipped.select("rec_no"), "rec_no", "left_anti"), "id")
     rows = variants.select(((F.col("rec_no") * spec.variants) + F.col("variant_index")).alias("rec_no"), F.col("variant_id").alias("id"), F.lit("").alias("description"), F.col("sequence").alias("seq"))
     marked = skipped.select("rec_no", F.coalesce("template_id", F.lit("")).alias("id"), "reason", F.col("token_pattern").alias("seq"))
-    write_fasta(with_skipped(rows, marked), f"{out}/variants_fasta", upper=False)
-    write_csv(variants.drop("rec_no", "sequence"), f"{out}/metadata")
+    write_fasta(with_skipped(rows, marked), f"{out}/{sequences}", upper=False)
+    if by_template:
+        each = variants.select(F.col("variant_index").alias("rec_no"), F.col("variant_id").alias("id"), F.lit("").alias("description"), F.col("sequence").alias("seq"), "template_id")
+        write_fasta(each, f"{out}/{sequences}_by_template", upper=False, by="template_id")
+    write_csv(variants.drop("rec_no", "sequence"), f"{out}/{metadata}")
     write_csv(skipped.select(F.col("template_id").alias("sequence_id"), "reason", F.coalesce("natural_sequence", "token_pattern").alias("sequence")), f"{out}/skipped")
 
 
@@ -290,7 +293,7 @@ def main(arguments: list[str] | None = None) -> None:
     some = {"--ids": {}, "--limit": whole, "--overwrite": flag}
     gates = {"--most-rasa": real | {"default": 0.25}, "--least-cosine": real | {"default": 0.2}}
     options = {
-        "library": (library, ["--fasta", "--config", "--out"], {"--token": flag}),
+        "library": (library, ["--fasta", "--config", "--out"], {"--token": flag, "--by-template": flag}),
         "predict": (predict_structures, ["--fasta", "--out", "--client"], some | {"--retries": whole | {"default": 6}, "--pause": real | {"default": 0.2}}),
         "metrics": (metrics, ["--structures", "--secondary", "--out"], gates | {"--metadata": {}, "--fasta": {}, "--motifs": {"nargs": "*", "default": ()}, "--width": whole | {"default": 8}, "--ungated": flag, "--skip": {}, "--group": {"default": "template_id"}, "--model": whole | {"default": 0}}),
         "cluster": (cluster, ["--structures", "--out"], gates | {"--metrics": {}, "--metadata": {}, "--linkage": {"default": "single"}, "--cutoffs": whole | {"default": 50}, "--low": real | {"default": 0.05}, "--high": real | {"default": 0.95}, "--least": whole | {"default": 2}, "--greatest": whole | {"default": 20}, "--fixed": real}),

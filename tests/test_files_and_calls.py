@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzfold.operators.external import RetrySpec, embed, index_problems, predict
-from quartzfold.sinks.files import append_index, fasta_text, with_skipped, write_csv, write_fasta, write_ids, write_structures
+from quartzfold.sinks.files import append_index, fasta_text, with_skipped, write_csv, write_fasta, write_ids, write_structures, write_token_fasta
 from quartzfold.sources.fasta import read_fasta, read_token_fasta, require_valid
-from quartzfold.sources.lists import load_library_spec, read_csv, read_ids, read_positions
+from quartzfold.sources.lists import load_library_spec, load_output_names, read_csv, read_ids, read_positions
 from quartzfold.sources.structures import alpha_coordinates, atoms, read_lines, read_vectors, residues
 from quartzfold.streaming.resume import process_new
 
@@ -27,6 +27,8 @@ def test_fasta(spark, tmp_path):
     assert records.where("rec_no = 5").select(fasta_text(F.col("id"), F.col("description"), F.col("seq"))).first()[0] == ">id5 d\n" + "A" * 80 + "\n" + "A" * 80 + "\n" + "A" * 40
     write_fasta(records.where("rec_no < 3"), str(tmp_path / "by"), by="id")
     assert (tmp_path / "by" / "id=id1").exists()
+    write_token_fasta(records.where("rec_no between 1 and 2").withColumn("tokens", F.lit("HPg")), str(tmp_path / "tok"), original=True)
+    assert {(r["id"], r["description"], r["seq"]) for r in read_fasta(spark, str(tmp_path / "tok"), keep_case=True).collect()} == {("id1", "d orig=" + "A" * 40, "HPg"), ("id2", "orig=" + "A" * 80, "HPg")}
     both = with_skipped(records.where("rec_no = 1"), spark.createDataFrame([(1, "bad", "why", None)], "rec_no int, id string, reason string, seq string")).orderBy("rec_no").collect()
     assert [r["id"] for r in both] == ["id1", "*bad"] and both[1]["description"] == "skipped_reason=why"
 
@@ -55,7 +57,11 @@ def test_lists_and_tables(spark, tmp_path):
     assert sorted(r[0] for r in read_positions(spark, str(tmp_path / "pos")).collect()) == [1, 2, 7]
     (tmp_path / "c.yaml").write_text("randomization: {num_variants_per_template: 7, rng_seed: 3, seed: 9}\nreplacement_pools: {hydrophobic: [F], polar: [E, D]}\n")
     spec = load_library_spec(str(tmp_path / "c.yaml"))
-    assert (spec.variants, spec.seed, spec.polar) == (7, 3, ("E", "D"))
+    assert (spec.variants, spec.seed, spec.polar) == (7, 3, ("E", "D")) and load_output_names(str(tmp_path / "c.yaml")) == ("variants_fasta", "metadata")
+    (tmp_path / "d.yaml").write_text("randomization: {num_variants_per_input: 0}\noutputs: {metadata_table_name: meta.csv}\n")
+    assert load_output_names(str(tmp_path / "d.yaml"))[1] == "meta"
+    with pytest.raises(ValueError, match="num_variants_per_input"):
+        load_library_spec(str(tmp_path / "d.yaml"))
     df = spark.createDataFrame([("007", None, ['a "q"', "b"]), ("NA", 'x,"y"\nz', [])], "variant_id string, note string, names array<string>")
     write_csv(df, str(tmp_path / "csv"))
     back = {r["variant_id"]: r for r in read_csv(spark, str(tmp_path / "csv"), "variant_id string, note string, names string", ["variant_id"]).collect()}

@@ -25,6 +25,15 @@ def test_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_core_alone(monkeypatch):
+    import sys
+
+    import __spark_entry__ as e
+
+    monkeypatch.setitem(sys.modules, "quartzfold.llm.queries", None)  # as if what it needs weren't there
+    assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(SQL)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

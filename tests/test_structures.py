@@ -11,7 +11,7 @@ from quartzfold.operators.clustering import ClusterSpec, assignment_rows, cluste
 from quartzfold.operators.metrics import gate, mean_bfactor, residue_metrics, summary, with_group
 from quartzfold.operators.overlay import overlay, overlay_report
 from quartzfold.operators.pca import fit_pca, project
-from quartzfold.operators.rmsd import close_pairs, rmsd, rmsd_to, single_linkage
+from quartzfold.operators.rmsd import close_pairs, distances, rmsd, rmsd_to, single_linkage
 from quartzfold.operators.topology import bundle_topology, connectivity_filter, helix_centroids
 
 X = np.array([[0, 0, 0], [1, 0, 0], [1, 1, 0], [1, 1, 1]], float)
@@ -25,6 +25,18 @@ def test_superposed_distance():
     assert np.allclose(rmsd(np.stack([X] * 3), np.stack(pairs)), [0, 0.5411961001, 0.4001250958], atol=1e-9)
 
 
+def test_all_distances_against_single_ones():
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(30, 21)) * 3
+    x[5], x[6] = x[4], x[4] + 1e-7 * draw.normal(size=21)
+    x[7] = (x[4].reshape(-1, 3) * [1, 1, -1]).ravel()
+    x[8] = np.outer(np.arange(7), [1, 2, 3]).ravel()  # a line
+    x[9] = (x[8].reshape(-1, 3) @ TURN).ravel()
+    one = np.array([[rmsd(a.reshape(1, -1, 3), b.reshape(1, -1, 3))[0] for b in x] for a in x])
+    assert np.allclose(distances(x, x, True), one, atol=1e-9)
+    assert np.allclose(distances(x, x[:3], False), np.sqrt(((x[:, None] - x[:3]) ** 2).sum(axis=2)))
+
+
 def test_cutoff_search_golden():
     p = np.array([0, 1, 5, 6.5])
     d = np.abs(p[:, None] - p)
