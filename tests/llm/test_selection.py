@@ -43,21 +43,26 @@ def test_sizes_limits_and_crowds(spark):
 
 
 def test_covers_more_than_chance(spark):
-    """On the real vectors: how near the nearest chosen one is to each variant, against random subsets of the same size and limit."""
+    """On the real vectors: how many clusters of alike variants a subset meets, and how near it comes to each, against random subsets of its size."""
     items = choosable_variants(spark, "/root/testdata/sf0.01").select("item", "group", "preferred", "vector").toPandas().sort_values("item")
-    x = np.stack(items.vector)
-    specs = spark.createDataFrame([(1, "m", 1000, 0, False, 150, None)], SPECS)
+    x = np.stack(items.vector).astype(float)
+    off = np.concatenate([np.sqrt(((x[i : i + 500, None] - x) ** 2).sum(axis=2)) for i in range(0, len(x), 500)])
+    cluster, near = np.arange(len(x)), off <= 1
+    while (new := np.where(near, cluster, len(x)).min(axis=1)).tolist() != cluster.tolist():
+        cluster = new
+    specs = spark.createDataFrame([(1, "m", 1000, 0, False, 150, None), (2, "m", 1000, 0, False, 600, None)], SPECS)
     rows = spark.createDataFrame([(int(r.item), int(r.group), bool(r.preferred), [float(v) for v in r.vector], "") for r in items.itertuples()], ITEMS)
-    chosen = np.isin(items.item, [r["item"] for r in varied_subset(rows, specs, 16).collect()])
+    chosen = [tuple(r) for r in varied_subset(rows, specs, 16).collect()]
 
-    def off(at):
-        return np.concatenate([np.sqrt(((x[i : i + 500, None] - x[at][None]) ** 2).sum(axis=2)).min(axis=1) for i in range(0, len(x), 500)])
+    def met(at):
+        nearest = off[:, at].min(axis=1)
+        return len(set(cluster[at])), np.mean([nearest[cluster == c].min() for c in np.unique(cluster)])
 
     draw = np.random.default_rng(0)
-    others = [off(draw.choice(len(x), 150, replace=False)) for _ in range(5)]
-    own = off(np.flatnonzero(chosen))
-    assert chosen.sum() == 150 and own.mean() < min(o.mean() for o in others)
-    print("mean distance to the nearest chosen", own.mean(), "by chance", np.mean([o.mean() for o in others]))
+    for spec, size in ((1, 150), (2, 600)):
+        own = met(np.flatnonzero(np.isin(items.item, [i for s, i in chosen if s == spec])))
+        others = [met(draw.choice(len(x), size, replace=False)) for _ in range(5)]
+        assert own[0] > 1.1 * max(n for n, _ in others) and own[1] < min(d for _, d in others)
 
 
 def test_empty(spark):
