@@ -55,14 +55,15 @@ def usable_scores(scores: DataFrame) -> DataFrame:
 def overlay_report(written: DataFrame, scores: DataFrame) -> DataFrame:
     """Per variant: n_ca_written, n_pc_available and a reason where they differ.
 
-    A score that its columns can't hold is the first reason (``bfactor_overflow``), then too few CA lines.
+    Too few CA lines are the first reason, then scores that their columns can't hold (``bfactor_overflow``).
     """
     a = written.groupBy("variant_id").agg(F.count_if("written").alias("n_ca_written"), F.count_if("overflow").alias("n_overflow"))
     b = scores.groupBy("variant_id").agg(F.count("score").alias("n_pc_available"))
     both = a.join(b, "variant_id", "full").na.fill(0, ["n_ca_written", "n_overflow", "n_pc_available"])
     reason = (
-        F.when(F.col("n_pc_available") == 0, "missing_embeddings_and_scores").when(F.col("n_overflow") > 0, F.format_string("bfactor_overflow: %d values", "n_overflow"))
-        .when(F.col("n_ca_written") < F.col("n_pc_available"), F.format_string("pc_longer_than_ca: wrote %d CA values, had %d", "n_ca_written", "n_pc_available"))
+        F.when(F.col("n_pc_available") == 0, "missing_embeddings_and_scores")
+        .when(F.col("n_ca_written") + F.col("n_overflow") < F.col("n_pc_available"), F.format_string("pc_longer_than_ca: wrote %d CA values, had %d", "n_ca_written", "n_pc_available"))
+        .when(F.col("n_overflow") > 0, F.format_string("bfactor_overflow: %d values", "n_overflow"))
     )
     return both.select("variant_id", "n_ca_written", "n_pc_available", reason.alias("reason"))
 

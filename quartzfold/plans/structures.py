@@ -334,8 +334,8 @@ SELECT (SELECT count(*) FROM v) AS n, round(sum(CASE WHEN i = j THEN c END), 6)
 m AS (SELECT i, avg(v[i]) AS m FROM ok, range(1, 17) a(i) GROUP BY i) SELECT row_id, round(sum((v[i] - m) ** 2), 6) AS squared FROM u, m GROUP BY row_id""",
     "pc_overlay": f"""SELECT variant_id::VARCHAR AS variant_id, resseq::INT AS line_no, CASE WHEN text IS NULL THEN line ELSE substr(line, 1, 60) || text || substr(line, 67) END AS line, text IS NOT NULL AS written, NOT bad AND text IS NULL AS overflow FROM {_LINES}""",
     "pc_report": f"""WITH r AS (SELECT variant_id AS v, count(text) AS w, 21 + (variant_id % 5 = 0)::INT AS n, 21 - count(text) AS o, bool_or(bad) AS bad FROM {_LINES} GROUP BY variant_id)
-SELECT v::VARCHAR AS variant_id, v % 7 <> 3 AND (v % 11 = 5 OR NOT bad) AS ok, CASE WHEN v % 7 = 3 THEN 'missing_pdb' WHEN v % 11 = 5 THEN 'skipped_exists' WHEN bad THEN 'pc_scores_shape_mismatch' WHEN o > 0 THEN 'bfactor_overflow: ' || o || ' values'
-WHEN w < n THEN 'pc_longer_than_ca: wrote ' || w || ' CA values, had ' || n END AS reason, CASE WHEN v % 7 = 3 OR v % 11 = 5 OR bad THEN 0 ELSE w END AS n_ca_written, CASE WHEN v % 7 = 3 OR v % 11 = 5 OR bad THEN 0 ELSE n END::BIGINT AS n_pc_available FROM r""",
+SELECT v::VARCHAR AS variant_id, v % 7 <> 3 AND (v % 11 = 5 OR NOT bad) AS ok, CASE WHEN v % 7 = 3 THEN 'missing_pdb' WHEN v % 11 = 5 THEN 'skipped_exists' WHEN bad THEN 'pc_scores_shape_mismatch' WHEN w + o < n THEN 'pc_longer_than_ca: wrote ' || w || ' CA values, had ' || n
+WHEN o > 0 THEN 'bfactor_overflow: ' || o || ' values' END AS reason, CASE WHEN v % 7 = 3 OR v % 11 = 5 OR bad THEN 0 ELSE w END AS n_ca_written, CASE WHEN v % 7 = 3 OR v % 11 = 5 OR bad THEN 0 ELSE n END::BIGINT AS n_pc_available FROM r""",
     "single_linkage_clusters": f"""WITH RECURSIVE e AS (SELECT g, i, j FROM {_PAIRS} WHERE d <= 1.2), r(g, item, c) AS (SELECT label, vec_id, vec_id FROM embeddings UNION SELECT e.g, e.j, r.c FROM r JOIN e ON r.g = e.g AND r.item = e.i)
 SELECT g AS group_id, item, min(c) AS cluster FROM r GROUP BY g, item""",
 }
