@@ -30,16 +30,17 @@ def missing_references(children: DataFrame, parents: DataFrame) -> DataFrame:
     group = ["parent_table", "key", "hour"]
     alive = parents.where("key is not null and start_at is not null and (end_at is null or end_at > start_at)")
     step = lambda at, by: alive.where(F.col(at).isNotNull()).select("parent_table", "key", F.col(at).alias("at"), F.lit(by).alias("step"))
-    changes = step("start_at", 1).unionByName(step("end_at", -1)).withColumn("hour", hour(F.col("at"))).groupBy(*group, "at").agg(F.sum("step").alias("step"))
+    changes = step("start_at", 1).unionByName(step("end_at", -1)).withColumn("hour", hour(F.col("at")))
     asked = children.where("key is not null and at is not null").withColumn("hour", hour(F.col("at")))
-    events = changes.select(*group, "at", "step").unionByName(asked.select(*group, F.lit(None).cast("timestamp").alias("at"), F.lit(0).cast("long").alias("step")))
+    events = changes.select(*group, "at", "step").unionByName(asked.select(*group, F.lit(None).cast("timestamp").alias("at"), F.lit(0).alias("step")))
     by_hour = events.groupBy(group).agg(F.sum("step").alias("change"), F.min("at").alias("first"), F.count_if(F.col("at").isNull()).alias("asked"))
     earlier = Window.partitionBy("parent_table", "key").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     carried = by_hour.withColumn("live", F.coalesce(F.sum("change").over(earlier), F.lit(0))).where("asked > 0 and (live <= 0 or first is not null)").select(*group, "first", "live")
     # from when to when no parent is live in an hour, null for its ends
     begin = carried.where("live <= 0").select(*group, F.lit(None).cast("timestamp").alias("since"), F.col("first").alias("until"))
     within = Window.partitionBy(group).orderBy("at")
-    after = changes.join(carried.where("first is not null").select(*group, "live"), group)
+    # joined by hour, the changes of one moment are summed and ordered where they are
+    after = changes.join(carried.where("first is not null").select(*group, "live"), group).groupBy(*group, "at").agg(F.sum("step").alias("step"), F.min("live").alias("live"))
     after = after.withColumns({"live": F.col("live") + F.sum("step").over(within.rowsBetween(Window.unboundedPreceding, 0)), "until": F.lead("at").over(within)})
     spans = begin.unionByName(after.where("live <= 0").select(*group, F.col("at").alias("since"), "until"))
     columns = ["table_name", "parent_table", "key", "at", "row_id"]
