@@ -111,10 +111,10 @@ def varied_subset(items: DataFrame, specs: DataFrame, dim: int, bits: int = BITS
     stretch = F.least(F.floor((F.col("along") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-18) * F.col("k")).cast("int"), F.col("k") - 1)
     each = each.withColumn("score", score).withColumn("stretch", stretch)
     most = max((r["k_per_cluster"] for r in rows), default=1)
-    best = top_n(each, ["spec_id", "group", "stretch"], "score", "item", int(most))
+    best = top_n(each, ["spec_id", "group", "stretch"], "score", "item", int(most), carried=("key",))
     turn = Window.partitionBy("spec_id", "group").orderBy("place", "stretch", "item")
     kept = best.withColumn("turn", F.row_number().over(turn)).join(F.broadcast(small), "spec_id").where("turn <= k")
-    kept = cut(kept.select("spec_id", "item", "score", "seed", "draw", "wanted").join(keyed.select("item", "key"), "item"))
+    kept = cut(kept.select("spec_id", "item", "key", "score", "seed", "draw", "wanted"))
     # distinct cells of each level from those of the next finer one
     found, finer = None, kept.select("spec_id", F.col("key").alias("cell"))
     for n in range(bits, 0, -1):

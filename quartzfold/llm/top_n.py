@@ -56,10 +56,10 @@ def _partial(group: list[str], score: str, item: str, n: int, held_rows: int) ->
     return run
 
 
-def top_n(df: DataFrame, group: list[str], score: str, item: str, n: int, held_rows: int = 500_000) -> DataFrame:
+def top_n(df: DataFrame, group: list[str], score: str, item: str, n: int, held_rows: int = 500_000, carried: tuple[str, ...] = ()) -> DataFrame:
     """The ``n`` rows of each group with the lowest ``score``, equal scores by ``item`` (strings in byte order).
 
-    Returns the group, score and item columns and ``place`` (from 1). An item counts once in a group at its lowest
+    Returns the group, item, ``carried`` (the same for all rows of an item) and score columns and ``place`` (from 1). An item counts once in a group at its lowest
     score. Rows with a null group, score or item, or a NaN score, are left out; groups smaller than ``n`` come out whole;
     other columns of ``df`` are ignored. Negate the score for the highest.
 
@@ -67,8 +67,8 @@ def top_n(df: DataFrame, group: list[str], score: str, item: str, n: int, held_r
     after it: a group of any size brings at most ``n`` rows from each task. A task holding more than ``held_rows`` rows
     passes them on to the merge and goes on, so memory is bounded whatever the number of groups.
     """
-    columns = [*group, item]
-    rows = df.select(*columns, F.col(score).cast("double").alias(score)).na.drop().where(~F.isnan(score))
+    columns = [*group, item, *carried]
+    rows = df.select(*columns, F.col(score).cast("double").alias(score)).na.drop(subset=[*group, item, score]).where(~F.isnan(score))
     heaps = rows.mapInArrow(_partial(group, score, item, n, held_rows), rows.schema)
     # one shuffle by group serves both: an item that two tasks kept, at perhaps different scores, counts once; then the places
     once = heaps.repartition(*group).groupBy(*columns).agg(F.min(score).alias(score))

@@ -36,6 +36,11 @@ def test_an_item_with_several_scores_takes_one_place(spark, parts):
     assert got == {("g", 1, "A", 1.0), ("g", 2, "B", 4.0), ("h", 1, "B", 1.0), ("h", 2, "A", 2.0)}
 
 
+def test_carried_columns(spark):
+    df = spark.createDataFrame([("g", 2.0, "A", None), ("g", 1.0, "B", b"x"), ("g", 1.5, "B", b"x")], "g string, score double, item string, key binary")
+    assert sorted(tuple(r) for r in top_n(df, ["g"], "score", "item", 2, carried=("key",)).collect()) == [("g", "A", None, 2.0, 2), ("g", "B", bytearray(b"x"), 1.0, 1)]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "g string, score double, item string")
     assert top_n(none, ["g"], "score", "item", 3).count() == 0
