@@ -10,13 +10,13 @@ from quartzfold.functions.helices import template_lengths, topology_ranges, writ
 from quartzfold.functions.sequences import (
     default_group, heptad_position, heptad_role, instantiate, letters, masked_length, motif_positions, natural_reason, pool, recovery, token_reason, tokens, variant_id,
 )
-from quartzfold.session import table
+from quartzfold.session import spread, table
 from quartzfold.sinks.files import fasta_text
 
 
 def _made(spark: SparkSession, sf_dir: str, *seeds: int) -> DataFrame:
     """The variants with a sequence for each seed (``sequence_<seed>``), made from their own pattern and pools."""
-    rows = table(spark, sf_dir, "variants").withColumn("h", pool(F.col("hydrophobic_pool"))).withColumn("p", pool(F.col("polar_pool")))
+    rows = spread(table(spark, sf_dir, "variants")).withColumn("h", pool(F.col("hydrophobic_pool"))).withColumn("p", pool(F.col("polar_pool")))
     made = {f"sequence_{s}": instantiate(F.col("token_pattern"), F.col("h"), F.col("p"), F.lit(s), F.col("template_id"), F.col("variant_index")) for s in seeds}
     return rows.withColumns(made)
 

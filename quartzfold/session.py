@@ -65,6 +65,12 @@ def cut(df: DataFrame) -> DataFrame:
     return made
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for work that costs far more than moving its rows; unchanged if it has as many splits already, as any large table has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``cut`` made and nothing reads any more."""
     path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)
