@@ -124,15 +124,15 @@ def index_rows(sequences: DataFrame, vectors: DataFrame, existing: DataFrame, as
 def index_problems(index: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """Entries of an index whose stored vector doesn't fit: variant_id, path, problem (the first that applies).
 
-    ``index``: variant_id, path and, where these are to be compared, sequence, model_name, layer; ``vectors``: path,
-    vector, and stored_sequence, stored_model, stored_layer, stored_dtype for the same.
+    ``index``: variant_id, path and, where these are to be compared, sequence, model_name, layer, dtype, implementation;
+    ``vectors``: path, vector, and stored_sequence, stored_model, stored_layer, stored_dtype, stored_implementation.
     """
     joined = index.join(vectors, "path", "left")
     problem = (
         F.when(F.col("vector").isNull(), "missing").when(F.size("vector") != dim, "wrong_length")
         .when(F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "not_finite")
     )
-    for own, stored, name in (("sequence", "stored_sequence", "other_sequence"), ("model_name", "stored_model", "other_model"), ("layer", "stored_layer", "other_layer"), ("dtype", "stored_dtype", "other_dtype")):
+    for own, stored, name in (("sequence", "stored_sequence", "other_sequence"), ("model_name", "stored_model", "other_model"), ("layer", "stored_layer", "other_layer"), ("dtype", "stored_dtype", "other_dtype"), ("implementation", "stored_implementation", "other_implementation")):
         if own in index.columns and stored in vectors.columns:
             problem = problem.when(~F.col(own).eqNullSafe(F.col(stored)), name)
     return joined.select("variant_id", "path", problem.alias("problem")).where("problem is not null")

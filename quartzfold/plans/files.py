@@ -7,15 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzfold.constants import HYDROPHOBIC, MAX_SURFACE, POLAR
-from quartzfold.operators.external import RetrySpec, embed, index_rows, predict
+from quartzfold.operators.external import RetrySpec, embed, index_problems, index_rows, predict
 from quartzfold.operators.library import LibrarySpec, build_library, last_of
+from quartzfold.operators.references import same_path
 from quartzfold.operators.selecting import latest, select_ids
 from quartzfold.plans.library import _BAD, _LISTED
+from quartzfold.plans.quality import _PATH
 from quartzfold.plans.structures import _LATEST, _PTS, _atoms
 from quartzfold.session import cut, scratch, table
-from quartzfold.sinks.files import append_index, write_csv, write_fasta, write_ids
+from quartzfold.sinks.files import append_index, with_skipped, write_csv, write_fasta, write_ids
 from quartzfold.sources.fasta import read_fasta, read_token_fasta
-from quartzfold.sources.lists import read_csv, read_ids
+from quartzfold.sources.lists import read_csv, read_ids, read_positions
 from quartzfold.sources.structures import atoms, one_location, residues
 
 SPEC = LibrarySpec(("A", "L", "V"), ("D", "E", "K", "Q"), variants=3, seed=7)
@@ -60,6 +62,25 @@ def library_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_library(SPEC, natural=rows)[1].select("template_id", "reason")
 
 
+def library_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants and, after them, the skipped names of parts with a mark and their reason, written as FASTA and read again."""
+    made, _ = build_library(SPEC, token=_records(spark, sf_dir))
+    rows = made.select(((F.col("rec_no") * SPEC.variants) + F.col("variant_index")).alias("rec_no"), F.col("variant_id").alias("id"), F.lit("").alias("description"), F.col("sequence").alias("seq"))
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rec_no"), F.col("p_partkey").cast("string").alias("id"), F.lit("").alias("description"), F.col("p_name").alias("seq"))
+    skipped = build_library(SPEC, natural=names)[1].select("rec_no", F.col("template_id").alias("id"), "reason", F.lit(None).cast("string").alias("seq"))
+    path = scratch(spark)
+    write_fasta(with_skipped(rows, skipped), path, upper=False)
+    return read_fasta(spark, path, keep_case=True).select("id", "description", "seq")
+
+
+def positions_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of residues as a file of comma-separated positions with comments, read as different positions."""
+    rows = table(spark, sf_dir, "embeddings_index").select(F.concat_ws(", ", F.col("sequence_length").cast("string"), (F.col("sequence_length") + 1).cast("string"), F.lit("x")).alias("value"))
+    path = scratch(spark)
+    rows.unionByName(rows.select(F.concat(F.lit("# 7,"), "value").alias("value"))).write.text(path)
+    return read_positions(spark, path)
+
+
 def last_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_of(table(spark, sf_dir, "variants").select("row_id", "variant_id", "template_id", "token_pattern"), "variant_id", "row_id")
 
@@ -140,6 +161,15 @@ def embed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_rows(rows, made, old, table(spark, sf_dir, "cluster_assignments"), "m", "cpu", "vectors")
 
 
+def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the index whose last stored vector is of another model than theirs, of another layer than 36, of another implementation, or unusable."""
+    path = same_path(F.col("embedding_path"))
+    files = table(spark, sf_dir, "embedding_files").groupBy(path.alias("path")).agg(F.max(F.struct("row_id", "emb_mean", "model_name", "representation_layer", "implementation")).alias("r"))
+    files = files.select("path", F.col("r.emb_mean").alias("vector"), F.col("r.model_name").alias("stored_model"), F.col("r.representation_layer").alias("stored_layer"), F.col("r.implementation").alias("stored_implementation"))
+    index = table(spark, sf_dir, "embeddings_index").where("status in ('ok', 'skipped') and embedding_path is not null").select("variant_id", path.alias("path"), "model_name", F.lit(36).alias("layer"), F.lit("fair").alias("implementation"))
+    return index_problems(index, files, 16).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
 def chosen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants, at most two of each cluster, by a seed."""
     rows = _sequences(spark, sf_dir).select("row_id", "variant_id")
@@ -161,7 +191,8 @@ _COUNT = lambda c: f"(length(s) - length(replace(s, '{c}', '')))"
 QUERIES = {
     f.__name__: f
     for f in (
-        fasta_scan, token_scan, library_build, library_natural, library_skipped, last_records, csv_scan, ids_scan, index_appended, atom_table, residue_table, predict_report, embed_index, chosen_ids,
+        fasta_scan, token_scan, library_build, library_natural, library_skipped, library_marked, last_records, csv_scan, ids_scan, positions_scan, index_appended, atom_table, residue_table, predict_report, embed_index,
+        stored_vectors, chosen_ids,
     )
 }
 SQL = {
@@ -172,6 +203,12 @@ SQL = {
 FROM {_TEMPLATES(_TOKENS_OF)}""",
     "library_skipped": f"""SELECT * FROM (SELECT p_partkey::VARCHAR AS template_id, CASE WHEN s IS NULL OR s = '' THEN 'Empty sequence' WHEN len({_BAD('A-Z')}) > 0 THEN 'Invalid characters: ' || {_LISTED(_BAD('A-Z'))}
 WHEN len({_BAD('ACDEFGHIKLMNPQRSTVWY')}) > 0 THEN 'Non-canonical/ambiguous residues present (AA20-only required): ' || {_LISTED(_BAD('ACDEFGHIKLMNPQRSTVWY'))} END AS reason FROM (SELECT p_partkey, upper(trim(p_name)) AS s FROM part)) WHERE reason IS NOT NULL""",
+    "library_marked": f"""SELECT variant_id AS id, '' AS description, sequence AS seq FROM {_TEMPLATES('p')} UNION ALL SELECT '*' || template_id, 'skipped_reason=' || reason, '' FROM (@SKIPPED@)""",
+    "positions_scan": "SELECT DISTINCT unnest([sequence_length, sequence_length + 1])::INT AS position FROM embeddings_index",
+    "stored_vectors": f"""WITH f AS (SELECT {_PATH('embedding_path')} AS path, emb_mean AS v, model_name AS m, representation_layer AS l, implementation AS k FROM embedding_files QUALIFY row_number() OVER (PARTITION BY path ORDER BY row_id DESC) = 1),
+i AS (SELECT {_PATH('embedding_path')} AS path, model_name FROM embeddings_index WHERE status IN ('ok', 'skipped') AND embedding_path IS NOT NULL)
+SELECT problem, count(*) AS n FROM (SELECT CASE WHEN v IS NULL THEN 'missing' WHEN len(v) <> 16 THEN 'wrong_length' WHEN len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN 'not_finite'
+  WHEN model_name IS DISTINCT FROM m THEN 'other_model' WHEN l IS DISTINCT FROM 36 THEN 'other_layer' WHEN k IS DISTINCT FROM 'fair' THEN 'other_implementation' END AS problem FROM i LEFT JOIN f USING (path)) WHERE problem IS NOT NULL GROUP BY problem""",
     "last_records": "SELECT variant_id, max(row_id) AS row_id, arg_max(template_id, row_id) AS template_id, arg_max(token_pattern, row_id) AS token_pattern, min(row_id) AS first_place FROM variants GROUP BY variant_id",
     "csv_scan": "SELECT row_id, variant_id, status, reason, status_code, attempts, elapsed_seconds, NULL::VARCHAR AS absent FROM predictions",
     "ids_scan": "SELECT trim(variant_id) AS id, count(*) AS n FROM predictions WHERE status = 'failed' AND trim(variant_id) NOT LIKE '#%' AND trim(variant_id) <> '' GROUP BY 1",
@@ -190,3 +227,4 @@ CASE WHEN old THEN 'exists_valid' WHEN fails THEN 'RuntimeError: no memory' WHEN
 k AS (SELECT variant_id FROM c QUALIFY row_number() OVER (PARTITION BY template_id, cluster_id ORDER BY md5('1|' || variant_id), variant_id) <= 2)
 SELECT row_id, variant_id FROM {_LAST} WHERE variant_id IN (SELECT variant_id FROM k)""",
 }
+SQL["library_marked"] = SQL["library_marked"].replace("@SKIPPED@", SQL["library_skipped"])

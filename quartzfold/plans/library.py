@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quartzfold.constants import EXTENDED, HYDROPATHY, HYDROPHOBIC, POLAR
 from quartzfold.functions.helices import template_lengths, topology_ranges, written
 from quartzfold.functions.sequences import (
-    default_group, heptad_position, heptad_role, instantiate, letters, masked_length, motif_positions, natural_reason, pool, recovery, token_reason, tokens, variant_id,
+    default_group, heptad_position, heptad_role, instantiate, is_valid_protein, letters, masked_length, motif_positions, natural_reason, pool, recovery, token_reason, tokens, variant_id,
 )
 from quartzfold.session import spread, table
 from quartzfold.sinks.files import fasta_text
@@ -25,6 +25,12 @@ def seq_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", natural_reason(F.col("p_name")).alias("reason"))
 
 
+def protein_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which names of parts are made of letters alone, and which when gaps and stops may be in them."""
+    name = F.translate("p_name", " ", "-")
+    return table(spark, sf_dir, "part").select("p_partkey", is_valid_protein(F.col("p_name")).alias("plain"), is_valid_protein(name, gaps=True, stop=True).alias("aligned"))
+
+
 def token_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "variants").groupBy(token_reason(F.col("token_pattern")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -93,11 +99,12 @@ _KD = "CASE a " + " ".join(f"WHEN '{a}' THEN {v}" for a, v in HYDROPATHY.items()
 _HITS = "list_distinct(flatten(list_transform(list_filter(range(1, greatest(length(token_pattern) - 3, 1) + 1), lambda i: substr(upper(token_pattern), i, 4) = 'HPPH'), lambda i: range(i, i + 4))))"
 _RANGES = lambda width: f"array_to_string(list_transform(range(1, 5), lambda i: (st[i] + (hs[i] - least(hs[i], {width})) // 2)::VARCHAR || '-' || (st[i] + (hs[i] - least(hs[i], {width})) // 2 + least(hs[i], {width}) - 1)::VARCHAR), ';')"
 
-QUERIES = {f.__name__: f for f in (seq_validate, token_validate, library_generate, library_recovery, seq_tokenize, token_composition, heptad_annotate, motif_cover, variant_names, helix_windows, fasta_records)}
+QUERIES = {f.__name__: f for f in (seq_validate, protein_valid, token_validate, library_generate, library_recovery, seq_tokenize, token_composition, heptad_annotate, motif_cover, variant_names, helix_windows, fasta_records)}
 SQL = {
     "seq_validate": f"""SELECT p_partkey, CASE WHEN s IS NULL OR s = '' THEN 'Empty sequence'
 WHEN len({_BAD('A-Z')}) > 0 THEN 'Invalid characters: ' || {_LISTED(_BAD('A-Z'))}
 WHEN len({_BAD('ACDEFGHIKLMNPQRSTVWY')}) > 0 THEN 'Non-canonical/ambiguous residues present (AA20-only required): ' || {_LISTED(_BAD('ACDEFGHIKLMNPQRSTVWY'))} END AS reason FROM {_SEQ}""",
+    "protein_valid": "SELECT p_partkey, regexp_full_match(upper(trim(p_name)), '[A-Z]*') AS plain, regexp_full_match(upper(trim(translate(p_name, ' ', '-'))), '[-A-Z.*]*') AS aligned FROM part",
     "token_validate": """SELECT CASE WHEN token_pattern IS NULL OR replace(trim(token_pattern), ' ', '') = '' THEN 'Empty token pattern'
 WHEN regexp_matches(replace(trim(token_pattern), ' ', ''), '[^HPpcg]') THEN 'Invalid token ''' || regexp_extract(replace(trim(token_pattern), ' ', ''), '[^HPpcg]') || '''' END AS reason, count(*) AS n FROM variants GROUP BY 1""",
     "library_generate": f"SELECT row_id, sequence_42 AS sequence FROM {_MADE}",

@@ -10,12 +10,12 @@ from quartzfold.operators.clustering import ClusterSpec, assignment_rows, cluste
 from quartzfold.operators.external import index_problems
 from quartzfold.operators.metrics import gate, mean_bfactor, residue_metrics, summary, with_group
 from quartzfold.operators.overlay import available_scores, overlay, overlay_report, usable_scores, whole_report
-from quartzfold.operators.pca import fit_pca, project, report
+from quartzfold.operators.pca import fit_pca, load_pca, project, report, save_pca
 from quartzfold.operators.references import same_path
 from quartzfold.operators.rmsd import rmsd_to, single_linkage
 from quartzfold.operators.selecting import first_in_order, latest, only, per_cluster, running_total, without
 from quartzfold.operators.topology import bundle_topology, connectivity_filter, helix_centroids
-from quartzfold.session import table
+from quartzfold.session import scratch, table
 
 HELICES = ((1, 5), (6, 10), (11, 15), (16, 21))
 
@@ -196,9 +196,11 @@ def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pca_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The squared length of each vector's scores along all components: that of the centred vector."""
+    """The squared length of each vector's scores along all components of a stored model: that of the centred vector."""
     files = table(spark, sf_dir, "embedding_files").where("size(emb_mean) = 16").select("row_id", "emb_mean")
-    pc = project(files, "emb_mean", fit_pca(files, "emb_mean", 16), "double").select("row_id", "pc")
+    path = scratch(spark)
+    save_pca(spark, fit_pca(files, "emb_mean", 16), path)
+    pc = project(files, "emb_mean", load_pca(spark, path), "double").select("row_id", "pc")
     return pc.select("row_id", F.round(F.aggregate("pc", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared"))
 
 
