@@ -93,6 +93,15 @@ def test_large_groups_in_blocks(spark, monkeypatch, how):
     assert rows(distance_summary(df, large)) == rows(distance_summary(df, small))
 
 
+def test_a_group_beyond_one_task(spark):
+    draw = np.random.default_rng(4)
+    x = np.array([[0.0, 0], [9, 0], [0, 30]])[np.arange(6_000) % 3] + draw.uniform(-1, 1, (6_000, 2))
+    df = spark.createDataFrame([("g", i, v) for i, v in enumerate(x.tolist())], "group_id string, item long, coords array<double>").repartition(8)
+    rows = cluster_groups(df, ClusterSpec(superposed=False, cutoffs=5, high=0.3)).collect()
+    label = {r["item"]: r["cluster_id"] for r in rows}
+    assert len(rows) == 6_000 and all(label[i] == i % 3 + 1 for i in label) and {r["note"] for r in rows} == {""} and sum(r["is_medoid"] for r in rows) == 3
+
+
 def test_quality_of_given_labels(spark, monkeypatch):
     monkeypatch.setattr("quartzfold.operators.blocks.BLOCK", 20)
     df = frames(spark).where("group_id <> 'odd'").withColumn("label", F.when(F.col("item") == 7, 9).otherwise((F.col("item") % 3).cast("int")))
