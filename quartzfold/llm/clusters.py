@@ -82,6 +82,33 @@ def band_keys(c: np.ndarray, how: Alike) -> np.ndarray:
     return out
 
 
+def splits(n: int) -> int:
+    """How many directions split the buckets of ``n`` vectors: one more for each doubling, since false company in a bucket grows with the table."""
+    return min(max(round(math.log2(max(n, 1) / 2**17)), 2), 8)
+
+
+def stretches(x: np.ndarray, how: Alike, times: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of space each row lies in, as rows and 64-bit keys, a row and key at most once.
+
+    Each of ``times`` orthogonal directions falls into stretches of eight times the radius, and a row within the radius
+    of the next stretch counts there too. So two alike rows always share a key, and few others do.
+    """
+    along = x @ np.linalg.qr(np.random.default_rng(how.seed).normal(size=(how.dim, how.dim)))[0]
+    edge = how.radius * (1 + 1e-6) + 1e-12 * np.sqrt((x**2).sum(axis=1))
+    width = 8 * how.radius
+    at = np.arange(len(x))
+    key = np.zeros(len(x), np.uint64)
+    for d in range(min(times, how.dim)):
+        place = np.floor(along[:, d] / width)
+        next_too = (place + 1) * width - along[:, d] <= edge
+        place = place.astype(np.int64)[at]
+        more = next_too[at]
+        at, place, key = np.r_[at, at[more]], np.r_[place, place[more] + 1], np.r_[key, key[more]]
+        key = (key ^ place.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return at, key
+
+
 def alike(x: np.ndarray, y: np.ndarray, how: Alike) -> np.ndarray:
     """Which pairs of rows are alike, by the Jaccard similarity of their sets and by distance."""
     same = (cells(x, how) == cells(y, how)).sum(axis=1)
@@ -109,7 +136,7 @@ def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _local(nodes: np.ndarray, x: np.ndarray, names: pa.Array, how: Alike) -> pa.RecordBatch:
+def _local(nodes: np.ndarray, x: np.ndarray, names: pa.Array, how: Alike, times: int) -> pa.RecordBatch:
     order = np.argsort(nodes)
     nodes, x, names = nodes[order], x[order], names.take(pa.array(order))
     n = len(nodes)
@@ -125,10 +152,18 @@ def _local(nodes: np.ndarray, x: np.ndarray, names: pa.Array, how: Alike) -> pa.
     keep = np.concatenate([alike(x[member[i : i + 50_000]], x[leader[i : i + 50_000]], how) for i in range(0, len(member), 50_000)] or [np.zeros(0, bool)])
     member, leader = member[keep], leader[keep]
     root = _components(n, member, leader)
-    # a component counts once in each band and key, by its first member there
-    band_root = np.stack([keys.ravel(), np.repeat(root, how.bands)], axis=1)
-    _, first = np.unique(band_root, axis=0, return_index=True)
-    at = first // how.bands
+    # a component counts once in each band, key and stretch, by its first member there
+    who, stretch = stretches(x, how, times)
+    bucket, at = [], []
+    for b in range(how.bands):
+        key = (keys[who, b].view(np.uint64) ^ stretch) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(31)
+        by = np.lexsort((who, root[who], key))
+        k, r = key[by], root[who][by]
+        first = by[np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])])]
+        bucket.append(key[first].view(np.int64))
+        at.append(who[first])
+    bucket, at = np.concatenate(bucket), np.concatenate(at)
     heads, group, size = np.unique(root, return_inverse=True, return_counts=True)
     centre = np.stack([np.bincount(group, x[:, d]) / size for d in range(how.dim)], axis=1)
     reach = np.zeros(len(heads))
@@ -136,7 +171,7 @@ def _local(nodes: np.ndarray, x: np.ndarray, names: pa.Array, how: Alike) -> pa.
     kind = np.repeat(np.array([0, 1, 2, 3], np.int8), [n, len(member), len(at), len(heads)])
     a = np.concatenate([nodes, nodes[member], nodes[at], nodes[heads]])
     b = np.concatenate([nodes[root], nodes[leader], nodes[root[at]], nodes[heads]])
-    key = np.concatenate([np.zeros(n + len(member), np.int64), keys.ravel()[first], np.zeros(len(heads), np.int64)])
+    key = np.concatenate([np.zeros(n + len(member), np.int64), bucket, np.zeros(len(heads), np.int64)])
     before, after = len(kind) - len(heads), len(kind) - n
     ball = pa.concat_arrays([pa.nulls(before, pa.list_(pa.float64())), pa.FixedSizeListArray.from_arrays(pa.array(centre.ravel()), how.dim).cast(pa.list_(pa.float64()))])
     return pa.RecordBatch.from_arrays(
@@ -145,8 +180,8 @@ def _local(nodes: np.ndarray, x: np.ndarray, names: pa.Array, how: Alike) -> pa.
     )
 
 
-def _banded(nodes: DataFrame, how: Alike) -> DataFrame:
-    """Rows of four kinds: 0 node a (by name) and its root b within its chunk, 1 alike pair a, b, 2 band key with node a of root b, 3 the ball around the members of root a."""
+def _banded(nodes: DataFrame, how: Alike, times: int) -> DataFrame:
+    """Rows of four kinds: 0 node a (by name) and its root b within its chunk, 1 alike pair a, b, 2 key of band and stretch with node a of root b, 3 the ball around the members of root a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -162,7 +197,7 @@ def _banded(nodes: DataFrame, how: Alike) -> DataFrame:
     def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         node, vector, name = (c.chunk(0) for c in t.columns)
-        return _local(node.to_numpy(), _matrix(vector, how.dim), name, how)
+        return _local(node.to_numpy(), _matrix(vector, how.dim), name, how, times)
 
     return nodes.select("node", "vector", "name").mapInArrow(run, "kind tinyint, key bigint, a bigint, b bigint, name string, centre array<double>, reach double")
 
@@ -184,33 +219,38 @@ def _verified(pairs: DataFrame, nodes: DataFrame, how: Alike) -> DataFrame:
 
 
 def _across(shared: DataFrame, banded: DataFrame, merged: DataFrame, nodes: DataFrame, how: Alike) -> DataFrame:
-    """Links between chunk components that share a bucket and are still apart: all their members are held against each other.
+    """Links between components that share a bucket and are still apart: all their members are held against each other.
 
     Only components whose balls (centre, reach) come near enough, and of these only members near enough to the other's
-    ball, in neighbouring slabs between the two, can hold an alike pair; so nothing is left out.
+    ball, in neighbouring slabs between the two, can hold an alike pair; so nothing is left out. p and q are whole
+    components, not their parts in chunks: of two that many chunks repeat, one pair is looked at.
     """
     dims = range(how.dim)
-    apart = shared.select("key", "root").join(merged, "root", "left").withColumn("component", F.coalesce("component", "root")).select("key", "root", "component")
-    many = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    members = cut(apart.join(many, "key"))
-    x, y = members.select("key", F.col("root").alias("p"), F.col("component").alias("cp")), members.select("key", F.col("root").alias("q"), F.col("component").alias("cq"))
-    near = x.join(y, "key").where("cp < cq").select("p", "q").distinct()
     by = lambda v, w: F.sqrt(sum(((v[i] - w[i]) * (v[i] - w[i]) for i in dims), F.lit(0.0)))
-    balls = banded.where("kind = 3")
-    bp, bq = (balls.select(F.col("a").alias(r), F.col("centre").alias(f"c{r}"), F.col("reach").alias(f"r{r}")) for r in "pq")
+    apart = shared.select("key", "root").join(merged, "root", "left").select("key", F.coalesce("component", "root").alias("component"))
+    many = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    members = cut(apart.join(many, "key").distinct())
+    near = members.select("key", F.col("component").alias("p")).join(members.select("key", F.col("component").alias("q")), "key").where("p < q").select("p", "q").distinct()
+    # a component is named by its least root: the ball around that root's centre that holds the balls of all its roots
+    balls = banded.where("kind = 3").select(F.col("a").alias("component"), "centre", "reach")
+    parts = balls.withColumnRenamed("component", "root").join(merged, "root").join(balls.select("component", F.col("centre").alias("middle")), "component")
+    whole = parts.groupBy("component").agg(F.max(by(F.col("centre"), F.col("middle")) + F.col("reach")).alias("whole"))
+    balls = balls.join(whole, "component", "left").select("component", "centre", F.coalesce("whole", "reach").alias("reach"))
+    bp, bq = (balls.select(F.col("component").alias(r), F.col("centre").alias(f"c{r}"), F.col("reach").alias(f"r{r}")) for r in "pq")
     slack = how.radius + 1e-9
     close = cut(near.join(bp, "p").join(bq, "q").where(by(F.col("cp"), F.col("cq")) <= F.col("rp") + F.col("rq") + slack))
     if close.isEmpty():
         return banded.where("false").select("a", "b", F.col("a").alias("p"), F.col("b").alias("q"))
-    touched = close.select(F.col("p").alias("root")).unionByName(close.select(F.col("q").alias("root"))).distinct()
+    touched = close.select(F.col("p").alias("component")).unionByName(close.select(F.col("q").alias("component"))).distinct()
+    touched = merged.join(touched, "component").select("root", "component").unionByName(touched.select(F.col("component").alias("root"), "component")).distinct()
     inside = banded.where("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("root")).join(touched, "root")
     # equal vectors of a component are one member
-    inside = cut(inside.join(nodes.select("node", "vector"), "node").groupBy("root", "vector").agg(F.min("node").alias("node")))
+    inside = cut(inside.join(nodes.select("node", "vector"), "node").groupBy("component", "vector").agg(F.min("node").alias("node")))
     # along the line between two centres alike members are no further apart than the radius, so only neighbouring slabs pair
     length = F.greatest(by(F.col("cp"), F.col("cq")), F.lit(1e-9))
     along = sum(((F.col("vector")[i] - F.col("cp")[i]) * (F.col("cq")[i] - F.col("cp")[i]) for i in dims), F.lit(0.0)) / length
     slab = F.floor(along / (how.radius * (1 + 1e-6))).alias("slab")
-    member = lambda r, c, reach: close.join(inside.select(F.col("root").alias(r), "node", "vector"), r).where(by(F.col("vector"), F.col(c)) <= F.col(reach) + slack).select("p", "q", slab, "node")
+    member = lambda r, c, reach: close.join(inside.select(F.col("component").alias(r), "node", "vector"), r).where(by(F.col("vector"), F.col(c)) <= F.col(reach) + slack).select("p", "q", slab, "node")
     left = member("p", "cq", "rq").withColumnRenamed("node", "a").withColumn("slab", F.explode(F.array(*[F.col("slab") + k for k in (-1, 0, 1)])))
     pairs = left.join(member("q", "cp", "rp").withColumnRenamed("node", "b"), ["p", "q", "slab"])
     return _verified(pairs.select("a", "b", "p", "q"), inside, how).select("a", "b", "p", "q")
@@ -224,10 +264,11 @@ def similar_groups(nodes: DataFrame, how: Alike = Alike()) -> tuple[DataFrame, D
 
     Where nodes are read, those of one chunk that share a band key are held against its first node, and components
     within the chunk are found; each brings one row per key to the shuffle, so a key with a third of all rows shrinks
-    first. Across chunks, components that share a key are held against the first of the key by one pair of members.
+    first. Keys of bands are split along ``splits`` directions, without loss, so that unlike vectors rarely meet however
+    many there are. Across chunks, components that share a key are held against the first of the key by one pair of members.
     Those that stay apart are compared member by member within the reach of their balls; no candidate is left out.
     """
-    banded = cut(_banded(nodes, how))
+    banded = cut(_banded(nodes, how, splits(nodes.count())))
     bucket = banded.where("kind = 2").select("key", "a", F.col("b").alias("root"))
     first = bucket.groupBy("key").agg(F.min(F.struct("root", "a")).alias("first"), F.max("root").alias("last")).where("first.root < last").drop("last")
     shared = cut(bucket.join(first, "key").select("key", "a", "root", F.col("first.a").alias("b"), F.col("first.root").alias("q")))
@@ -237,8 +278,7 @@ def similar_groups(nodes: DataFrame, how: Alike = Alike()) -> tuple[DataFrame, D
     more = cut(_across(shared, banded, merged, nodes, how))
     if not more.isEmpty():
         # labels so far are stars of their own: only components need joining
-        joined = more.join(merged.select(F.col("root").alias("p"), F.col("component").alias("cp")), "p", "left").join(merged.select(F.col("root").alias("q"), F.col("component").alias("cq")), "q", "left")
-        joined = connected_components(joined.select(F.coalesce("cp", "p").alias("a"), F.coalesce("cq", "q").alias("b")))
+        joined = connected_components(more.select(F.col("p").alias("a"), F.col("q").alias("b")))
         again = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
         merged = (
             merged.join(again, "component", "left").select("root", F.coalesce("whole", "component").alias("component"))

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from quartzfold.llm import clusters
 from quartzfold.llm.clusters import Alike, alike, band_keys, cells, loose_parts, similar_groups, typical, usable
 from pyspark.sql import functions as F
 
@@ -80,6 +81,46 @@ def test_no_alike_pair_is_below_the_bound():
     assert same and (band_keys(cells(x, how), how) == band_keys(cells(y, how), how)).any(axis=1).mean() > 0.9999
 
 
+def test_components_apart_are_paired_once_however_many_chunks_hold_them(spark, monkeypatch):
+    draw, chunks = np.random.default_rng(4), 30
+    at = draw.normal(size=16) * 7
+    x = np.concatenate([at + side * 1.3 * np.eye(16)[0] + draw.normal(size=(chunks * 8, 16)) * 0.02 for side in (0, 1)])  # near by, and in the same buckets
+    pairs = []
+
+    def counted(df):
+        made = cut(df)
+        if {"p", "q"} <= set(df.columns):
+            pairs.append(made.count())
+        return made
+
+    cut = clusters.cut
+    monkeypatch.setattr(clusters, "cut", counted)
+    nodes = spark.createDataFrame([(i, f"n{i}", v.tolist(), 0) for i, v in enumerate(x)], SCHEMA).repartition(chunks)
+    got = {r["node"]: r["cluster"] for r in similar_groups(nodes)[0].collect()}
+    assert got == {i: int(w) for i, w in enumerate(brute(x.astype(np.float32)))} and len(set(got.values())) == 2
+    assert max(pairs) <= 8 * chunks, "not every chunk's part against every other's"
+
+
+@pytest.mark.parametrize("times", [2, 8])
+def test_alike_vectors_share_a_stretch_and_few_others_do(times):
+    draw, how = np.random.default_rng(2), Alike()
+    x = draw.normal(size=(5_000, 16)) * 6
+    step = draw.normal(size=x.shape)
+    y = x + step / np.sqrt((step**2).sum(axis=1, keepdims=True)) * draw.uniform(0, 1, (len(x), 1))
+    (i, k), (j, m) = clusters.stretches(x, how, times), clusters.stretches(y, how, times)
+    mine, others = set(zip(i.tolist(), k.tolist(), strict=True)), set(zip(j.tolist(), m.tolist(), strict=True))
+    assert len(mine) == len(i) and {r for r, _ in mine & others} == set(range(len(x)))
+    assert len(mine & {((r + 1) % len(x), key) for r, key in others}) < len(x) * 0.6**times
+    assert len(i) < len(x) * 1.2**times
+
+
+def test_split_buckets_against_all_pairs(spark, monkeypatch):
+    x = vectors()
+    monkeypatch.setattr(clusters, "splits", lambda n: 8)
+    nodes = spark.createDataFrame([(i, f"n{i}", v.tolist(), 0) for i, v in enumerate(x)], SCHEMA).repartition(5)
+    assert {r["node"]: r["cluster"] for r in similar_groups(nodes, Alike(chunk=100))[0].collect()} == {i: int(w) for i, w in enumerate(brute(x))}
+
+
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert similar_groups(none)[0].count() == 0
