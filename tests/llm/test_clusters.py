@@ -84,7 +84,7 @@ def test_no_alike_pair_is_below_the_bound():
 def test_components_apart_are_paired_once_however_many_chunks_hold_them(spark, monkeypatch):
     draw, chunks = np.random.default_rng(4), 30
     at = draw.normal(size=16) * 7
-    x = np.concatenate([at + side * 1.3 * np.eye(16)[0] + draw.normal(size=(chunks * 8, 16)) * 0.02 for side in (0, 1)])  # near by, and in the same buckets
+    x = np.concatenate([at + side * 1.14 * np.eye(16)[0] + draw.normal(size=(chunks * 8, 16)) * 0.02 for side in (0, 1)])  # near by, and in the same buckets
     pairs = []
 
     def counted(df):
